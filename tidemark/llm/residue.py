@@ -1,0 +1,252 @@
+"""Template residue and error-page text.
+
+Labelled exemplars of residue (filler, error pages, notices that scripts are needed) lie in an inverted index from word to exemplars.
+A window of ``WINDOW`` words slides over every passage; its containment in an exemplar is the share of its TF-IDF weight whose words the
+exemplar holds.  Windows of high containment cover their words, and a text is excluded when they cover its main part: ``COVERAGE`` of its
+words, headline and page furniture aside.  A text with an unfilled placeholder is excluded wherever it stands, unless the passage around
+it is contained in the exemplars of passages that explain placeholders.
+
+Document frequencies are counted over all texts into 2**18 hashed slots, so what is broadcast has a fixed size; rare words that share a
+slot only weigh a little less.  Two scans, one small aggregation, no shuffle of texts; texts are read whole.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+WINDOW = 8
+CONTAINMENT = 0.6
+COVERAGE = 0.5
+SLOTS = 1 << 18
+MENTION = 0.5
+
+# fixed values: labelled exemplars of residue
+EXEMPLARS = {
+    "filler": [
+        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
+        "dolora sitam consecta adipra eiusmo tempora incidi labora magnar aliqa enimva quisno exerci ullamo commod duisa irura pariar velit fugiat nulla nisi aute",
+        "Body copy goes here. Click to edit this paragraph. Your headline goes here. Subheading placeholder. Write two or three sentences about results. Add a short description of the company in this box. Replace this sample text with your own summary. This is dummy content for layout purposes only.",
+        "This page is under construction. Content for this section will be added later. Check back for the full report. Details to follow. Coming soon.",
+        "Revenue: to be completed. Guidance: TBD. Outlook: n/a. Risks: tbc. Thesis: coming soon. Catalysts: tba. Segment notes: -",
+    ],
+    "error": [
+        "404 Not Found. The page you asked for could not be found on this site. It may have been moved or removed.",
+        "Error 404. We can't find that filing. Try the search box or go back to the home page.",
+        "This article is no longer available. It was withdrawn by the publisher or the link has expired.",
+        "502 Bad Gateway nginx edge proxy gateway front",
+        "503 Service Temporarily Unavailable. Please retry in 5 minutes. Request id 6f7866.",
+        "Internal Server Error. The server met an unexpected condition and could not complete the request.",
+        "Oops! Something went wrong on our end. Our team has been told. Incident 8ffaa7.",
+        "Too many requests. You have reached the limit of 100 requests per hour; slow down and try again.",
+        "Access denied. You do not have permission to view this resource on this server. Reference #b7d9.",
+        "html head title 403 Forbidden title head body center h1 Forbidden Gateway Time-out Bad Gateway Not Found Service Unavailable h1 center hr nginx body html",
+        "error code 500 message upstream request timeout trace 3b18",
+        "Traceback (most recent call last): File render.py line 10, in page KeyError: headline ValueError TypeError",
+        "java.net.SocketTimeoutException: read timed out at zq.feed.Reader.next(Reader.java:187) at zq.feed.Loop.run(Loop.java:35)",
+        "Sorry, the market data feed did not respond. Reload in 30 seconds; if this keeps happening write to support.",
+        "Maintenance in progress. The site will be back at 05:00 UTC.",
+        "Your session has expired. Sign in again to continue reading about this company.",
+        "This content is available to subscribers in selected regions only. Your region is not supported yet.",
+        "Redirecting you to the site. If nothing happens, follow the link.",
+        "Seite nicht gefunden. Die gewünschte Meldung existiert nicht mehr oder wurde verschoben. Fehlercode 404.",
+        "Erreur 500 : le service est momentanément indisponible. Merci de réessayer plus tard. Réf. 7f0d",
+        "Página no encontrada. El enlace que siguió ha caducado o es incorrecto.",
+    ],
+    "script": [
+        "Please enable JavaScript to view this page. Some features of the site will not work without it.",
+        "You need to turn on JavaScript in your browser to run this app.",
+        "Checking your browser before you access the site. This takes about 5 seconds. Ray fcab2.",
+        "noscript This chart service requires script support. Switch it on and refresh. noscript",
+        "Your browser does not support scripts or they are switched off, so the report on the company can't be shown.",
+        "Verify you are human by completing the check below. Scripts and cookies must be allowed to continue.",
+        "We use cookies that need scripting. It looks like a blocker is active; disable it and reload to read the article.",
+        "Es necesario habilitar JavaScript para mostrar este contenido.",
+        "Bitte aktivieren Sie JavaScript in Ihrem Browser, um den Inhalt dieser Seite zu sehen.",
+        "Veuillez activer JavaScript et les cookies pour poursuivre votre lecture.",
+    ],
+}
+# fixed values: page furniture that may surround any text
+FURNITURE = ["Home | Markets | Contact", "Menu  Search  Log in", "© All rights reserved.", "About us | Contact | Privacy | Terms", "Share  Print  Subscribe", "coralwire.example tapewire.example quillnews.example basinpress.example northdesk.example ledgerpost.example"]
+# fixed values: passages that explain or quote placeholders
+MENTIONS = [
+    "The alert body is rendered from a template in which a field stands for the trading day; the renderer fills it before the message is sent.",
+    "In our naming guide this marks a shell variable and that a format slot; neither may appear in published notes.",
+    "the placeholder syntax denotes a template variable that is replaced with its value when rendered",
+    "the style guide writes the token as an example of a merge field and template variable",
+]
+# fixed values: HTML element names, which aren't placeholders
+_TAGS = "html|head|title|body|center|hr|br|p|b|i|u|em|strong|a|div|span|noscript|script|style|table|tr|td|th|ul|ol|li|pre|code|img|h[1-6]|meta|link|form|input|button|section|article|nav|footer|header|sic"
+# fixed values: unfilled placeholders, by style
+PLACEHOLDER = re.compile(
+    r"\{\{\s*[\w .-]{1,40}\s*\}\}"
+    r"|[$#]\{\s*\w[\w .-]{0,40}\}"
+    r"|\{\$\w{1,40}\}"
+    r"|<%=?\s*[\w .-]{1,40}\s*%>"
+    r"|\[\[\s*[\w .-]{1,40}\s*\]\]"
+    r"|<<\s*[\w .-]{1,40}\s*>>"
+    r"|@@\w{2,40}@@"
+    r"|%\(\w{1,40}\)[sdf]"
+    r"|«\w{2,40}»"
+    r"|\[insert\b[^\]\n]{1,60}\]|\[INSERT\b[^\]\n]{1,60}\]"
+    rf"|\[(?!(?:SIC|{_TAGS})\])[A-Z][A-Z_ ]{{2,40}}\]"
+    rf"|<(?!/?(?:{_TAGS.upper()})\b)[A-Z][A-Z_ ]{{2,40}}>"
+    rf"|&lt;(?!/?(?:{_TAGS})\b)\w[\w -]{{1,40}}&gt;|&LT;\w[\w -]{{1,40}}&GT;"
+    r"|(?<![\w_])__[A-Za-z]\w{1,40}?__(?![\w_])"
+    r"|(?<=[^\s_])[ \t]*(?<!_)_{4,11}(?!_)|(?<!_)_{4,11}(?!_)(?=[ \t]*[^\s_])"
+    r"|\[[●•]\]"
+    r"|\{\d{1,2}\}"
+    r"|\bXX(?:\.X+)?\b"
+    r"|\bTODO:\s*\w"
+)
+_MAYBE = re.compile(r"[{\[<@«&_]|%\(|XX|TODO:")  # what every placeholder holds
+_WORD = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
+
+
+def tokens(text: str) -> list[str]:
+    """Words without letter case; all numbers and identifiers with digits are one word."""
+    return ["9" if _DIGIT.search(w) else w for w in _WORD.findall(text.lower())]
+
+
+def _slot(word: str) -> int:
+    return crc32(word.encode()) & (SLOTS - 1)
+
+
+def document_frequencies(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """The number of texts that hold a word, in hashed slots, and the number of texts."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, slots, n = Counter(), np.zeros(SLOTS + 1, np.int64), 0
+        for b in batches:
+            for t in b["t"]:
+                seen.update(set(tokens(t)))
+                n += 1
+            if len(seen) > 500_000:
+                for w, c in seen.items():
+                    slots[_slot(w)] += c
+                seen.clear()
+        for w, c in seen.items():
+            slots[_slot(w)] += c
+        slots[SLOTS] = n
+        used = np.flatnonzero(slots)
+        yield pd.DataFrame({"slot": used, "n": slots[used]})
+
+    rows = texts.select(F.col(text).alias("t")).filter("t is not null").mapInPandas(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    got = rows.toPandas()
+    out = np.zeros(SLOTS + 1, np.int64)
+    out[got["slot"].to_numpy(int)] = got["n"].to_numpy()
+    return out[:SLOTS], int(out[SLOTS])
+
+
+class Index:
+    """Word -> exemplars, with the weights of the words in the corpus."""
+
+    def __init__(self, df: np.ndarray, n_texts: int):
+        self.df, self.n, self.weights = df, n_texts, {}
+        labelled = [(label, x) for label, xs in EXEMPLARS.items() for x in xs]
+        self.held: dict[str, np.ndarray] = {}
+        for k, (_, x) in enumerate(labelled):
+            for w in tokens(x):
+                self.held.setdefault(w, np.zeros(len(labelled), bool))[k] = True
+        self.furniture = [set(tokens(x)) for x in FURNITURE]
+        self.mentions = [set(tokens(x)) for x in MENTIONS]
+        self.none = np.zeros(len(labelled), bool)
+
+    def weight(self, w: str) -> float:
+        got = self.weights.get(w)
+        if got is None:
+            if len(self.weights) > 500_000:
+                self.weights.clear()
+            got = self.weights[w] = math.log1p(self.n / (1.0 + self.df[_slot(w)]))
+        return got
+
+    def covered(self, ws: list[str], weights: np.ndarray) -> np.ndarray:
+        """Which words stand in a window contained in residue, or made of one repeated word."""
+        n = len(ws)
+        width = min(WINDOW, n)
+        held = np.stack([self.held.get(w, self.none) for w in ws])
+        sums = np.vstack([np.zeros(held.shape[1]), np.cumsum(held * weights[:, None], axis=0)])
+        total = np.concatenate([[0.0], np.cumsum(weights)])
+        inside = (sums[width:] - sums[:-width]) / np.maximum(total[width:] - total[:-width], 1e-9)[:, None]
+        hit = inside.max(axis=1) >= CONTAINMENT
+        if n >= WINDOW:
+            changes = np.concatenate([[0], np.cumsum([a != b for a, b in zip(ws, ws[1:], strict=False)])])
+            hit |= changes[width - 1 :] == changes[: n - width + 1]
+        return np.convolve(hit.astype(int), np.ones(width, int))[:n] > 0
+
+    def is_residue(self, text: str) -> tuple[bool, float]:
+        parts = [p for p in re.split(r"\n[ \t\r]*\n", text) if p.strip()]
+        if len(parts) > 1 and len(_WORD.findall(parts[0])) <= 12 and not re.search(r"[.!?]\s*$", parts[0]):
+            parts = parts[1:]  # a headline
+        lines = [line for p in parts for line in p.split("\n")]
+        body = [tokens(line) for line in lines]
+        body = [ws for ws in body if ws and not self._furniture(ws)]
+        ws = [w for line in body for w in line]
+        if not ws:
+            return False, 0.0
+        # what windows of that containment cover at most, by weight, decides for most texts without sliding any
+        own = [self.weight(w) for w in ws]
+        total = sum(own)
+        held = sum(x for w, x in zip(ws, own, strict=True) if w in self.held)
+        if held < COVERAGE * CONTAINMENT * total and len(set(ws)) > 1 + len(ws) // WINDOW:
+            return False, 0.0
+        share = float(self.covered(ws, np.array(own)).mean())
+        return share >= COVERAGE, share
+
+    def _furniture(self, ws: list[str]) -> bool:
+        return len(ws) <= 12 and any(held.issuperset(ws) for held in self.furniture)
+
+    def unfilled(self, text: str) -> bool:
+        """A placeholder that no explaining passage holds."""
+        if not _MAYBE.search(text):
+            return False
+        for m in PLACEHOLDER.finditer(text):
+            start = max(text.rfind(". ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
+            ends = [e for e in (text.find(". ", m.end()), text.find("\n", m.end())) if e >= 0]
+            around = text[start : m.start()] + " " + text[m.end() : min(ends) if ends else len(text)]
+            if text[max(0, m.start() - 1) : m.start()] == "`":
+                continue
+            ws = tokens(around)
+            total = sum(self.weight(w) for w in ws)
+            best = max(sum(self.weight(w) for w in ws if w in held) for held in self.mentions)
+            if not total or best < MENTION * total:
+                return True
+        return False
+
+
+def residue(texts: DataFrame, *, key: str, text: str) -> DataFrame:
+    """The texts to exclude: (key, reason, coverage); reason 'placeholder' or 'main_part', coverage that of the main part by residue.
+
+    Nulls and empty texts give no row (they hold no residue); repeated rows come out each; very long texts are read whole.  Other columns
+    are ignored.  An empty table gives no rows.
+    """
+    spark = texts.sparkSession
+    index = spark.sparkContext.broadcast(Index(*document_frequencies(texts, text)))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge_of: Index = index.value
+        for b in batches:
+            rows = []
+            for k, t in zip(b["key"], b["t"], strict=True):
+                if not t or not t.strip():
+                    continue
+                if judge_of.unfilled(t):
+                    rows.append((k, "placeholder", 0.0))
+                    continue
+                bad, share = judge_of.is_residue(t)
+                if bad:
+                    rows.append((k, "main_part", share))
+            yield pd.DataFrame(rows, columns=["key", "reason", "coverage"])
+
+    source = texts.select(F.col(key).alias("key"), F.col(text).alias("t")).filter("t is not null")
+    out = source.mapInPandas(judge, f"key {texts.schema[key].dataType.simpleString()}, reason string, coverage double")
+    return out.withColumnRenamed("key", key)
