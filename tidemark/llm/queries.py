@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.dedup import id_part, page_part, repeats
 from tidemark.llm.leakage import leaks
+from tidemark.llm.neighbours import nearest
 from tidemark.llm.residue import residue
 from tidemark.llm.split import split_chunks, split_oversized
 from tidemark.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = nearest(table(spark, sf, "rag_chunks"), key="id", vector="embedding", dim=512, k=5, least=0.70)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     cut = split_oversized(table(spark, sf, "rag_chunks"), key="id", text="content")
     return cut.select(F.col("id").alias("chunk_id"), "boundary").distinct()
@@ -47,7 +53,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p8_found": p8_found, "p8_removed": p8_removed, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p8_found": p8_found, "p8_removed": p8_removed, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
