@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.dedup import id_part, page_part, repeats
 from tidemark.llm.leakage import leaks
 from tidemark.llm.neighbours import nearest
+from tidemark.llm.packing import pack
 from tidemark.llm.residue import residue
 from tidemark.llm.split import split_chunks, split_oversized
 from tidemark.session import table
@@ -34,6 +35,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.least("doc", "repeats").alias("id_a"), F.greatest("doc", "repeats").alias("id_b")).distinct()
 
 
+def p7_windows(spark: SparkSession, sf: str) -> DataFrame:
+    placed = pack(table(spark, sf, "documents"), key="doc_id", size="n_tokens", capacity=2048)
+    return placed.select("doc_id", "piece", F.col("first_unit").alias("first_token"), F.col("units").alias("n_tokens"), F.col("container").alias("window_id"))
+
+
 def _leaks(spark: SparkSession, sf: str, clean: bool) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), key="doc_id", text="text", item_key="item_id", item_text="text", clean=clean)
 
@@ -53,7 +59,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p8_found": p8_found, "p8_removed": p8_removed, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p7_windows": p7_windows, "p8_found": p8_found, "p8_removed": p8_removed, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
