@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import problems, series_queries
 
 
 def modules() -> list:
-    return [problems]
+    return [problems, series_queries]
