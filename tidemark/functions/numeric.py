@@ -41,7 +41,7 @@ _HART_Q = (440.413735824752, 793.826512519948, 637.333633378831, 296.56424877967
 
 
 def normal_cdf(x: Column) -> Column:
-    """The normal distribution function as a column expression, to about 1e-14; it needs no Python."""
+    """The normal distribution function as a column expression, to 1e-14 absolute; it needs no Python."""
     a = F.abs(x)
 
     def poly(coefficients: tuple[float, ...]) -> Column:

@@ -45,6 +45,8 @@ def known_at(
     come out with null attributes.  Repeated events come out as often as they went in.  Empty tables give empty or null results.
     Extra columns of ``changes`` are ignored.
     """
+    if clash := set(carry) & set(events.columns):
+        raise ValueError(f"carried attributes clash with columns of the events: {sorted(clash)}")
     e, t = "__entity", "__time"
     keyed = events.withColumns({e: entity, t: event_time})
     moments = keyed.filter(F.col(e).isNotNull() & F.col(t).isNotNull()).select(e, t).distinct()

@@ -18,7 +18,7 @@ def information_coefficient(rows: DataFrame, by: list[str], signal: str, outcome
     x = rows.select(*by, finite(F.col(signal)).alias("s"), finite(F.col(outcome)).alias("o")).filter("s is not null and o is not null")
     ranked = x.select(*by, "s", "o", average_rank(F.col("s"), by).alias("rs"), average_rank(F.col("o"), by).alias("ro"))
     flat = (F.max("s") == F.min("s")) | (F.max("o") == F.min("o"))
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rs", "ro").alias("c"), flat.alias("flat"))
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ratio(F.covar_pop("rs", "ro"), F.stddev_pop("rs") * F.stddev_pop("ro")).alias("c"), flat.alias("flat"))
     status = F.when(F.col("n") < least, "insufficient").when(F.col("flat"), "no_variance").otherwise("ok")
     return out.select(*by, "n", F.when(F.col("n") >= least, F.when(F.col("flat"), 0.0).otherwise(F.col("c"))).alias("ic"), status.alias("status"))
 
