@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
 
-_NL = r"(?:\r\n|\n|\r)"
+_NL = r"(?:\r\n|\n|\r(?!\n))"
 LEVELS = [  # coarsest first
     ("paragraph", re.compile(rf"{_NL}(?:[ \t]*{_NL})+")),
     ("line", re.compile(_NL)),
