@@ -40,26 +40,25 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str = "2 hou
     return timed.groupBy(*keys).agg(F.min(F.struct(ts, *[c for c in names if c != ts])).alias("r")).select(*keys, "r.*")
 
 
-def running_totals(events: DataFrame, key: str, value: str, timeout_ms: int = 3_600_000) -> DataFrame:
-    """A stream's (key, n, total) after each micro-batch, in state that is dropped after ``timeout_ms`` without rows."""
+def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
+    """A stream's (key, n, total) after each micro-batch; the state is one small row per key."""
 
     def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         n, total = state.get if state.exists else (0, 0.0)
         for r in rows:
             n += len(r)
             total += float(r["v"].fillna(0).sum())
         state.update((n, total))
-        state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"key": [k[0]], "n": [n], "total": [total]})
 
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(F.col(key).alias("key"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def once(stream: DataFrame, name: str, mode: str = "append") -> None:
-    """Run a stream over what is there now into a memory table, for tests and backfills."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def once(stream: DataFrame, name: str, mode: str = "append", seconds: int = 600) -> None:
+    """Run a stream over what is there now into a memory table, for tests and backfills; fails after ``seconds``."""
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream {name} did not end in {seconds} s")
