@@ -266,7 +266,7 @@ case when count(ret) over w >= 5 and max(ret) over w > min(ret) over w then stdd
 window w as (partition by symbol order by date rows between 20 preceding and 1 preceding))
 select symbol, date, round(ret, 8) ret, round(vol, 8) vol from v where n_rows >= 7 and abs(ret) > 2 * vol""",
         "sanity_gate": """select c_nationkey symbol, count(*) filter (where c_acctbal <= 0) n_bad,
-array_to_string((list_sort(list(distinct c_custkey) filter (where c_acctbal <= 0)))[1:5], ',') first_dates, count(*) filter (where c_acctbal <= 0) = 0 passed
+coalesce(array_to_string((list_sort(list(distinct c_custkey) filter (where c_acctbal <= 0)))[1:5], ','), '') first_dates, count(*) filter (where c_acctbal <= 0) = 0 passed
 from customer group by 1""",
         "schema_gate": """select state_machine_arn symbol, 'open' absent, count(*) filter (where output is not null and try_cast(output as double) is null)::bigint n_not_numeric, false passed
 from run_executions group by 1""",
@@ -339,16 +339,16 @@ select bin, n, round(predicted, 8) predicted, round(observed, 8) observed, true
         "seam_spread": """with c as (select signal_ts::date d, score, horizon_days from alpha_signals),
 a as (select d, avg(score) i, count(score) ni from c group by 1 having count(score) >= 2), b as (select d, avg(score) o, count(score) no from c where horizon_days = 21 group by 1 having count(score) >= 2)
 select count(*) filter (where i is not null and o is not null) n_dates, count(*) filter (where i is null or o is null) n_dropped, sum(ni)::bigint n_input, sum(no)::bigint n_output,
-round(avg(o - i), 8) spread, 'ok' status from a full join b on a.d = b.d""",
+round(avg(o - i), 8) spread, case when count(o - i) >= 1 then 'ok' else 'insufficient_data' end status from a full join b on a.d = b.d""",
         "bh_fdr": """with t as (select p_partkey, (p_retailprice * 7919) % 1000 / 1000 * case when p_size < 5 then 0.001 else 1.0 end p from part),
 r as (select *, row_number() over (order by p, p_partkey) rank, count(*) over () n from t)
 select p_partkey, round(p, 9) p, rank, rank <= coalesce((select max(rank) from r where p <= rank / n * 0.05), 0) significant from r""",
         "pbo": f"""with {PRICES}, x as (select year(date) split, symbol % 12 spec, round(avg(close), 6) v from prices group by 1, 2),
-k as (select *, count(*) over (partition by split) c from x), y as (select * from k where c = 12),
+s as (select count(distinct spec) n from x), k as (select *, count(*) over (partition by split) c from x), y as (select k.*, n from k, s where c = n),
 o as (select *, (sum(v) over (partition by spec) - v) / (count(*) over (partition by spec) - 1) others,
-(rank() over (partition by split order by v) + (count(*) over (partition by split, v) - 1) / 2.0) / 13.0 w from y),
+(rank() over (partition by split order by v) + (count(*) over (partition by split, v) - 1) / 2.0) / (n + 1.0) w from y),
 b as (select * from o qualify row_number() over (partition by split order by round(others, 12) desc, spec) = 1)
-select count(*) n_splits, 12 n_specs, round(case when count(*) >= 4 then avg((ln(w / (1 - w)) <= 0)::int) end, 6) pbo, round(case when count(*) >= 4 then quantile_cont(ln(w / (1 - w)), 0.5) end, 6) median_logit from b""",
+select count(*) n_splits, (select n from s)::int n_specs, round(case when count(*) >= 4 then avg((ln(w / (1 - w)) <= 0)::int) end, 6) pbo, round(case when count(*) >= 4 then quantile_cont(ln(w / (1 - w)), 0.5) end, 6) median_logit from b""",
         "regime_sortino": f"""with {_REG} select regime, horizon, n, round(case when n >= 5 then hit end, 7) hit_rate, round({_SORTINO}, 7) sortino,
 round(case when n >= 5 and sd >= 1e-12 then m / sd * f end, 7) sharpe, round(case when n >= 5 then d end, 7) downside from g""",
         "regime_spread": f"""with {_REG}, s as (select max({_SORTINO}) filter (where regime = 'bull') up, max({_SORTINO}) filter (where regime = 'bear') down from g where horizon = 21)
