@@ -66,7 +66,8 @@ def json_nodes(df: DataFrame, keys: list[str], texts: list[str], levels: int = L
 
     Paths start at $, add .key per member and [i] per position; parent is the path of the nearest enclosing object that is an array
     element, or $.  shape is 'object', 'array' or 'value'; value is the node as JSON.
-    Nulls, empty texts and texts that aren't valid JSON (cut off, say) give no rows.  Repeated rows give repeated rows.  Other columns
+    Nulls, empty texts and texts that aren't valid JSON (cut off, say, with a member name twice, or beyond the size limit of VARIANT) give
+    no rows.  Repeated rows give repeated rows.  Other columns
     are ignored.
     """
     s = Scratch(df.sparkSession, "nested")
