@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shared import received, share
+
 MIN_WORDS = 13
 MAX_WORDS = 1_000_000  # words of evaluation items in one automaton
 
@@ -118,7 +120,7 @@ class Automaton:
 
 def _stream(automaton_of, key_type: str, item_type: str, clean: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a: Automaton = automaton_of.value
+        a: Automaton = received(automaton_of)
         for b in batches:
             rows = []
             for key, text in zip(b["key"], b["text"], strict=True):
@@ -171,5 +173,5 @@ def leaks(texts: DataFrame, items: DataFrame, *, key: str, text: str, item_key:
     kt, it = texts.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"key {kt}, items array<{it}>, spans array<struct<first_word: int, last_word: int>>, covered_words int, n_words int, rest string"
     source = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
-    parts = [source.mapInPandas(_stream(spark.sparkContext.broadcast(Automaton(share, min_words)), kt, it, clean), schema) for share in shares]
+    parts = [source.mapInPandas(_stream(share(spark, Automaton(part, min_words)), kt, it, clean), schema) for part in shares]
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("key", key)

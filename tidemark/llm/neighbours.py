@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.lookup import lookup
 from tidemark.scratch import Scratch
+from tidemark.shared import received, share
 
 
 @dataclass(frozen=True)
@@ -165,7 +166,7 @@ def _send(shared, dim: int, probes: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        router: Router = shared.value
+        router: Router = received(shared)
         seen: set[str] = set()
         for b in batches:
             at, x = unit_rows(b.column("embedding"), dim)
@@ -259,7 +260,7 @@ def nearest(vectors: DataFrame, *, key: str, vector: str, dim: int, k: int = 5,
     take = base.filter(F.pmod(F.xxhash64("key"), F.lit(slots)) < int(min(1.0, params.sample / max(total, 1)) * slots) + 1).limit(2 * params.sample).select("embedding")
     got = take.toArrow().column("embedding").combine_chunks()
     sample = unit_rows(got, dim)[1] if len(got) else np.zeros((0, dim), np.float32)
-    shared = spark.sparkContext.broadcast(fit(sample, total, params))
+    shared = share(spark, fit(sample, total, params))
     named = base.select("key", name.alias("class"), "embedding")
     sent = named.select("class", "embedding").mapInArrow(_send(shared, dim, params.probes), "part int, block int, home boolean, class string, vector binary")
     found = sent.groupBy("part", "block").applyInPandas(_rerank(k, dim, least), "class string, near string, cosine double")

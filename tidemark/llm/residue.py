@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shared import received, share
+
 WINDOW = 8
 CONTAINMENT = 0.6
 COVERAGE = 0.5
@@ -230,10 +232,10 @@ def residue(texts: DataFrame, *, key: str, text: str) -> DataFrame:
     are ignored.  An empty table gives no rows.
     """
     spark = texts.sparkSession
-    index = spark.sparkContext.broadcast(Index(*document_frequencies(texts, text)))
+    index = share(spark, Index(*document_frequencies(texts, text)))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge_of: Index = index.value
+        judge_of: Index = received(index)
         for b in batches:
             rows = []
             for k, t in zip(b["key"], b["t"], strict=True):
