@@ -31,5 +31,17 @@ def test_labelled_cases(spark):
     assert set(got) == set(BAD) and got.count("error") == 2
 
 
+def test_short_residue_before_furniture(spark):
+    bad = {
+        "form": "Risks: TBD\nRevenue: tbc\nCatalysts: n/a\nGuidance: to be completed\nOutlook: TBD\n\n(c) All rights reserved.",
+        "error": "404 Not Found\n\nHome | Markets | Contact",
+        "below headline": "Halnedyne Robotics: recall plant\n\nRisks: TBD\nRevenue: tbc\nOutlook: TBD\n\nMenu Search Log in",
+    }
+    good = {"headline": "Halnedyne Robotics recalls plant\n\nHome | Markets | Contact", "status": "404 Not Found\n\n" + NEWS}
+    rows = [*bad.items(), *good.items(), *((f"n{i}", NEWS.replace("coastal", f"coastal{i}")) for i in range(100))]
+    got = {r.k for r in residue(spark.createDataFrame(rows, "k string, text string"), key="k", text="text").collect()}
+    assert got == set(bad)
+
+
 def test_empty(spark):
     assert residue(spark.createDataFrame([], "k string, text string"), key="k", text="text").count() == 0

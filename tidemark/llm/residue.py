@@ -187,22 +187,26 @@ class Index:
 
     def is_residue(self, text: str) -> tuple[bool, float]:
         parts = [p for p in re.split(r"\n[ \t\r]*\n", text) if p.strip()]
-        if len(parts) > 1 and len(_WORD.findall(parts[0])) <= 12 and not re.search(r"[.!?]\s*$", parts[0]):
-            parts = parts[1:]  # a headline
-        lines = [line for p in parts for line in p.split("\n")]
-        body = [tokens(line) for line in lines]
-        body = [ws for ws in body if ws and not self._furniture(ws)]
-        ws = [w for line in body for w in line]
+        words = []
+        for p in parts:
+            lines = [tokens(line) for line in p.split("\n")]
+            words.append([w for ws in lines if not self._furniture(ws) for w in ws])
+        share = self._coverage([w for ws in words for w in ws])
+        if len(parts) > 1 and words[0] and len(_WORD.findall(parts[0])) <= 12 and not re.search(r"[.!?]\s*$", parts[0]):
+            share = max(share, self._coverage([w for ws in words[1:] for w in ws]))  # the first block is a headline or residue itself
+        return share >= COVERAGE, share
+
+    def _coverage(self, ws: list[str]) -> float:
+        """The share of the words that residue covers; 0 where it is below ``COVERAGE`` without sliding a window."""
         if not ws:
-            return False, 0.0
+            return 0.0
         # what windows of that containment cover at most, by weight, decides for most texts without sliding any
         own = [self.weight(w) for w in ws]
         total = sum(own)
         held = sum(x for w, x in zip(ws, own, strict=True) if w in self.held)
         if held < COVERAGE * CONTAINMENT * total and len(set(ws)) > 1 + len(ws) // WINDOW:
-            return False, 0.0
-        share = float(self.covered(ws, np.array(own)).mean())
-        return share >= COVERAGE, share
+            return 0.0
+        return float(self.covered(ws, np.array(own)).mean())
 
     def _furniture(self, ws: list[str]) -> bool:
         return len(ws) <= 12 and any(held.issuperset(ws) for held in self.furniture)
