@@ -143,6 +143,15 @@ def filtered_vector_topk(spark, sf):
     return _r(retrieval.vector_search(q, chunks, "id", "embedding", 5), 4, "similarity").filter("similarity > 0.6")
 
 
+def filtered_vector_neighbours(spark, sf):
+    """The 5 nearest filings chunks of every chunk in the one-in-fifty set: ids whose CRC-32 is divisible by 50."""
+    docs = retrieval.metadata_filter(table(spark, sf, "rag_documents"), doc_types=["10-K", "10-Q"], min_date="2023-06-01")
+    usable = table(spark, sf, "rag_chunks").filter("size(embedding) = 512")
+    chunks = usable.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    q = usable.filter(F.crc32("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _r(retrieval.block_search(q, chunks, "id", "embedding", 5, 512), 4, "similarity")
+
+
 def ingest_dedup(spark, sf):
     d = table(spark, sf, "rag_documents")
     old, new = d.filter("ingested_at < timestamp'2023-09-01'"), d.filter("ingested_at >= timestamp'2023-09-01' or ingested_at is null")
@@ -154,7 +163,7 @@ def partition_scan(spark, sf):
     return d.groupBy("doc_type", "filed_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-_QUERIES = [brinson_by_period, carino_linked, transaction_cost, tradeability_pct, attractiveness, beta_ols_single, factor_model, factor_covariance, shrunk_covariance, portfolio_risk, tracking_error, fm_factor_returns, vector_topk, keyword_topk, hybrid_blend, filtered_vector_topk, ingest_dedup, partition_scan]
+_QUERIES = [brinson_by_period, carino_linked, transaction_cost, tradeability_pct, attractiveness, beta_ols_single, factor_model, factor_covariance, shrunk_covariance, portfolio_risk, tracking_error, fm_factor_returns, vector_topk, keyword_topk, hybrid_blend, filtered_vector_topk, filtered_vector_neighbours, ingest_dedup, partition_scan]
 
 
 def queries() -> dict:
