@@ -66,3 +66,20 @@ def test_without_paths_nulls_and_versions(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, id long, p long")
     assert hierarchy.hierarchies(df, group="g", node="id", parent="p", paths=True).count() == 0
+
+
+@pytest.mark.parametrize("block", [32, 4096])
+def test_descendants_match_walking_up(spark, monkeypatch, block):
+    monkeypatch.setattr(hierarchy, "BLOCK", block)
+    rows = sample() + [("b", 9, 170), ("b", 170, 90), ("b", 90, 9), ("b", 300, 170), ("b", 301, 300)]
+    parent, want = {(g, i): p for g, i, p in rows}, set()
+    for g, i in parent:
+        c, steps, seen = parent[g, i], 1, {i}
+        while (g, c) in parent and c not in seen:
+            want.add((g, c, i, steps))
+            seen.add(c)
+            c, steps = parent[g, c], steps + 1
+    df = spark.createDataFrame(rows + rows[:9], "g string, id long, p long")
+    got = [tuple(r) for r in hierarchy.descendants(df, group="g", node="id", parent="p").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {x[1:] for x in got if x[0] == "b" and x[1] == 9} == {(9, 90, 1), (9, 170, 2), (9, 300, 3), (9, 301, 4)}

@@ -47,6 +47,8 @@ def _solve(nxt: np.ndarray, splitter: np.ndarray) -> tuple[np.ndarray, np.ndarra
     end = nxt < 0
     safe = np.where(end, np.arange(len(nxt)), nxt)
     stop = end | splitter
+    if not stop.any():  # nothing but loops and what leads into them
+        return np.full(len(nxt), -1), np.zeros(len(nxt), np.int64), stop
     # a splitter's own walk starts at its next node
     cur, steps, _ = _jump(safe, stop)
     first = np.where(end, np.arange(len(nxt)), cur[safe])
@@ -241,9 +243,43 @@ def hierarchies(links: DataFrame, *, group: str, node: str, parent: str, version
     ``version`` holds, then of the largest parent.  Empty tables give no rows.  Other columns are ignored.
     """
     s = Scratch(links.sparkSession, "hierarchy")
+    extra = ["path", "n_descendants"] if paths else []
+    return _place(_nodes(links, s, group, node, parent, version), s, paths).select(F.col("g").alias(group), F.col("id").alias(node), "kind", "top", "depth", *extra)
+
+
+def _nodes(links: DataFrame, s: Scratch, group: str, node: str, parent: str, version: str | None) -> DataFrame:
     order = [F.col(version).alias("v")] if version else []
     raw = links.select(F.col(group).cast("string").alias("g"), F.col(node).cast("bigint").alias("id"), F.struct(*order, F.col(parent).cast("bigint").alias("p")).alias("p"))
     nodes = raw.filter("g is not null and id is not null").groupBy("g", "id").agg(F.max("p").alias("p"))
-    nodes = s.write(nodes.select("g", "id", F.col("p.p").alias("p"), F.lit(None).cast("bigint").alias("cut")), "nodes")
-    extra = ["path", "n_descendants"] if paths else []
-    return _place(nodes, s, paths).select(F.col("g").alias(group), F.col("id").alias(node), "kind", "top", "depth", *extra)
+    return s.write(nodes.select("g", "id", F.col("p.p").alias("p"), F.lit(None).cast("bigint").alias("cut")), "nodes")
+
+
+def _ring(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The place of every node of a loop, counted along the parents from its smallest."""
+    parent = dict(zip(rows["id"], rows["p"], strict=True))
+    walk = [min(parent)]
+    while parent[walk[-1]] != walk[0]:
+        walk.append(parent[walk[-1]])
+    return pd.DataFrame({"g": key[0], "top": key[1], "id": walk, "place": range(len(walk)), "size": len(walk)})
+
+
+def descendants(links: DataFrame, *, group: str, node: str, parent: str, version: str | None = None) -> DataFrame:
+    """Every descendant of every node: (group, node, descendant, distance), distance the parent links from the descendant up to the node.
+
+    A node isn't its own descendant.  The descendants of a node on a loop are all other nodes of the loop and all that hang off any of them,
+    by their shortest way up.  One row per pair: as many as the paths have nodes above their last, and for a loop its size times what leads
+    into it.  Nodes are brought together only by loop, of which the pairs are the square.  Nulls and repeated rows as in ``hierarchies``.
+    """
+    s = Scratch(links.sparkSession, "hierarchy")
+    nodes = _nodes(links, s, group, node, parent, version)
+    placed = _place(nodes, s, True)
+    above = placed.filter("depth > 0").select("g", "id", F.size("path").alias("n"), F.posexplode("path").alias("at", "above"))
+    pairs = above.select("g", F.col("above").alias("node"), F.col("id").alias("descendant"), (F.col("n") - 1 - F.col("at")).cast("bigint").alias("distance")).filter("distance > 0")
+    looped = placed.filter("kind in ('cycle', 'below_cycle')")
+    looped = s.write(looped.select("g", "id", "kind", "top", "depth", F.col("path")[0].alias("entry")), "looped")
+    ring = looped.filter("kind = 'cycle'").select("g", "top", "id").join(nodes.select("g", "id", "p"), ["g", "id"])
+    ring = s.write(ring.groupBy("g", "top").applyInPandas(_ring, "g string, top bigint, id bigint, place bigint, size bigint"), "rings")
+    entered = looped.join(ring.select("g", "top", F.col("id").alias("entry"), F.col("place").alias("from")), ["g", "top", "entry"])
+    around = entered.withColumnRenamed("id", "descendant").join(ring.select("g", "top", F.col("id").alias("node"), "place", "size"), ["g", "top"]).filter("node != entry")
+    pairs = pairs.unionByName(around.select("g", "node", "descendant", (F.col("depth") + F.pmod(F.col("place") - F.col("from"), F.col("size"))).alias("distance")))
+    return pairs.select(F.col("g").alias(group), F.col("node").alias(node), "descendant", "distance")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import entity_key
 from tidemark.operators.asof import known_at
-from tidemark.operators.hierarchy import hierarchies
+from tidemark.operators.hierarchy import descendants, hierarchies
 from tidemark.operators.nested import element_objects, json_nodes
 from tidemark.session import table
 
@@ -52,6 +52,12 @@ def p4_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("execution_arn", "event_id", "kind", F.col("top").alias("top_event_id"), F.col("depth").alias("node_depth"), "path", "n_descendants")
 
 
+def p4_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every descendant of every event with its distance, on loops too."""
+    below = descendants(table(spark, sf, "run_history"), group="execution_arn", node="event_id", parent="previous_event_id", version="recorded_at")
+    return below.select("execution_arn", "event_id", F.col("descendant").alias("descendant_event_id"), "distance")
+
+
 def _as_of(spark: SparkSession, sf: str, carry: dict) -> DataFrame:
     signals = table(spark, sf, "alpha_signals")
     filings = table(spark, sf, "rag_documents").filter("doc_type is distinct from 'news'")
@@ -111,7 +117,7 @@ union all select g, id, 'below_cycle', top, depth from hang
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_members": p3_members, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p6_found": p6_found, "p6_enriched": p6_enriched}
+    return {"p3_found": p3_found, "p3_members": p3_members, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p6_found": p6_found, "p6_enriched": p6_enriched}
 
 
 def oracle_sql() -> dict[str, str]:
