@@ -1,4 +1,8 @@
-from tidemark.llm.residue import residue
+from zlib import crc32
+
+import numpy as np
+
+from tidemark.llm.residue import SLOTS, Index, residue
 
 NEWS = "Selling costs were $555 million, up 13.4%, on new distribution agreements and a larger sales force in the coastal business. The effective tax rate was 4.4%, compared with 42.8% a year earlier."
 BAD = {
@@ -43,5 +47,14 @@ def test_short_residue_before_furniture(spark):
     assert got == set(bad)
 
 
+def test_half_residue_beside_rare_words():
+    index = Index(np.zeros(SLOTS, np.int64), 100_000)
+    for w in ("foo", "the", "page"):
+        index.df[crc32(w.encode()) & (SLOTS - 1)] = 90_000
+    rare = " ".join("qz" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(40))
+    assert index.is_residue("foo " * 60 + rare)[0]
+    assert index.is_residue("the page " * 30 + rare)[0] and not index.is_residue("the page " * 15 + rare)[0]
+
+
 def test_empty(spark):
     assert residue(spark.createDataFrame([], "k string, text string"), key="k", text="text").count() == 0

@@ -200,13 +200,21 @@ class Index:
         """The share of the words that residue covers; 0 where it is below ``COVERAGE`` without sliding a window."""
         if not ws:
             return 0.0
-        # what windows of that containment cover at most, by weight, decides for most texts without sliding any
-        own = [self.weight(w) for w in ws]
-        total = sum(own)
-        held = sum(x for w, x in zip(ws, own, strict=True) if w in self.held)
-        if held < COVERAGE * CONTAINMENT * total and len(set(ws)) > 1 + len(ws) // WINDOW:
+        own = np.array([self.weight(w) for w in ws])
+        if self._bound(ws, own) < COVERAGE:
             return 0.0
-        return float(self.covered(ws, np.array(own)).mean())
+        return float(self.covered(ws, own).mean())
+
+    def _bound(self, ws: list[str], weights: np.ndarray) -> float:
+        """At least the share that ``covered`` finds: windows judged by the words that any exemplar holds."""
+        n = len(ws)
+        width = min(WINDOW, n)
+        held = np.concatenate([[0.0], np.cumsum(weights * np.array([w in self.held for w in ws]))])
+        total = np.concatenate([[0.0], np.cumsum(weights)])
+        hit = held[width:] - held[:-width] >= CONTAINMENT * (total[width:] - total[:-width]) - 1e-6
+        changes = np.concatenate([[0], np.cumsum([x != y for x, y in zip(ws, ws[1:], strict=False)])])
+        hit |= changes[width - 1 :] == changes[: n - width + 1]
+        return float((np.convolve(hit.astype(int), np.ones(width, int))[:n] > 0).mean())
 
     def _furniture(self, ws: list[str]) -> bool:
         return len(ws) <= 12 and any(held.issuperset(ws) for held in self.furniture)
