@@ -158,6 +158,11 @@ def secret_scan(spark, sf):
     return table(spark, sf, "rag_documents").select("id", F.array_join(k, ",").alias("kinds")).filter("kinds != ''")
 
 
+def document_secrets(spark, sf):
+    """Every text of the corpus masked, with the kinds of secrets it shows."""
+    return table(spark, sf, "documents").select("doc_id", records.mask(F.col("text")).alias("masked"), F.array_join(records.secret_kinds(F.col("text")), ",").alias("kinds"))
+
+
 def path_assertion(spark, sf):
     r = table(spark, sf, "run_executions")
     return r.select("execution_arn", records.path_assertion(F.col("input"), "pipeline_role", "eq", "weekly").alias("weekly"), records.path_assertion(F.col("input"), "shards[0].shard", "lte", 0).alias("first_shard"))
@@ -193,7 +198,7 @@ def truncated_snapshots(spark, sf):
     return table(spark, sf, "run_executions").select("execution_arn", F.length(t).alias("n"), t.alias("snapshot"))
 
 
-_QUERIES = [freshness_states, cycle_completion, dag_reachable, dag_leaves, dag_root_cause, dag_faults, dag_cycles, windowed_artifact, fallback_keys, module_health, success_rate, entered_states, state_durations, failing_state, run_dates, latest_runs, reliability_window, clean_streak, status_islands, coverage_sweep, record_dedup, teacher_counts, mask_secrets, secret_scan, path_assertion, contract_errors, decoded_inputs, canonical_hashes, truncated_snapshots]
+_QUERIES = [freshness_states, cycle_completion, dag_reachable, dag_leaves, dag_root_cause, dag_faults, dag_cycles, windowed_artifact, fallback_keys, module_health, success_rate, entered_states, state_durations, failing_state, run_dates, latest_runs, reliability_window, clean_streak, status_islands, coverage_sweep, record_dedup, teacher_counts, mask_secrets, secret_scan, document_secrets, path_assertion, contract_errors, decoded_inputs, canonical_hashes, truncated_snapshots]
 
 
 def queries() -> dict:
