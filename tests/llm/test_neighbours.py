@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from tidemark.llm.neighbours import Params, nearest
+from tidemark.llm.neighbours import Params, Router, Tree, _cells, _packed, _unpacked, nearest
 
 SCHEMA = "id string, v array<float>, near string"
 
@@ -29,6 +30,55 @@ def test_recall_on_clusters(spark):
     assert hit >= 0.9 and all(len(v) == 5 for v in got.values())
 
 
+@pytest.mark.parametrize(
+    "params",
+    [Params(sample=1000, leaf=150, fan=6), Params(sample=1000, leaf=100, fan=4, tree=4), Params(sample=100, leaf=40, fan=2, tree=2)],
+    ids=["two levels", "cut again where the rows lie", "hot parts in blocks"],
+)
+def test_recall_where_parts_are_many_or_hot(spark, params):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32))
+    of = np.where(rng.random(1500) < 1 / 3, 0, rng.integers(0, 40, 1500))  # one cluster holds a third
+    x = (centres[of] + 0.6 * rng.normal(size=(1500, 32))).astype(np.float32)
+    ids = [f"i{k:04d}" for k in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in zip(ids, x, strict=True)], SCHEMA)
+    got = {}
+    for r in nearest(df, key="id", vector="v", dim=32, k=5, params=params).collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    want = brute(ids, x.astype(float), 5, -2)
+    hit = sum(len(set(got[i]) & set(want[i])) for i in ids) / (5 * len(ids))
+    assert hit >= 0.9 and all(len(v) == 5 for v in got.values())
+
+
+def test_parts_grow_with_the_collection_and_copies_do_not():
+    parts = 50
+    top = Router(np.random.default_rng(0).normal(size=(8, parts)), np.zeros(parts), np.full(parts, 1 / parts))
+    for total in (10**6, 10**8):
+        per = round(total / 2048 / parts)
+        tree = Tree(top, [Router(np.random.default_rng(c).normal(size=(8, per)), np.zeros(per), np.full(per, 1 / per)) for c in range(parts)], total, 2048)
+        assert tree.sizes.max() <= 4096 and (tree.blocks == 1).all()
+        assert tree.route(np.random.default_rng(1).normal(size=(20, 8)).astype(np.float32), 3).shape == (20, 3)
+
+
+def test_cells_meet_every_pair_once():
+    n, b = 200, 3
+    to, own = np.zeros((n, 1), int), np.arange(n)
+    row, part, cell, q, i = _cells(to, np.ones((n, 1), bool), own, np.full((n, 1), b))
+    met = {}
+    for c in range(b * b):
+        for x in row[(cell == c) & q]:
+            for y in row[(cell == c) & i]:
+                met[x, y] = met.get((x, y), 0) + 1
+    assert len(met) == n * n and set(met.values()) == {1} and np.bincount(cell).max() <= 2 * (n // b + 1)
+
+
+def test_packing_keeps_cosines():
+    x = np.random.default_rng(5).normal(size=(40, 33)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = _unpacked([v.tobytes() for v in _packed(x)], 33)
+    assert abs(x @ x.T - y @ y.T).max() < 1e-3
+
+
 def test_unusable_copies_and_ties(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(20, 8)).astype(np.float32)
