@@ -18,6 +18,41 @@ def test_island_is_valid_and_tight():
     assert len(set(evolve(hard, 1000, 1)[1])) == 40
 
 
+def best_fit_decreasing(sizes, capacity):
+    free = []
+    for x in sorted(sizes, reverse=True):
+        fits = [(f, i) for i, f in enumerate(free) if f >= x]
+        if fits:
+            free[min(fits)[1]] -= x
+        else:
+            free.append(capacity - x)
+    return len(free)
+
+
+def test_crossovers_happen_and_beat_best_fit_decreasing():
+    better = 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        triplets = []
+        for _ in range(20):  # each three fill a container, which best fit by size doesn't find
+            a = int(rng.integers(380, 490))
+            b = int(rng.integers(250, (1000 - a) // 2 + 1))
+            triplets += [a, b, 1000 - a - b]
+        sizes, births = np.array(triplets), []
+        labels = min((evolve(sizes, 1000, 40 + i, None, i, births)[1] for i in range(3)), key=lambda x: len(set(x)))
+        assert len(births) >= 3 * 8 and np.bincount(labels, weights=sizes).max() <= 1000
+        better += len(set(labels)) < best_fit_decreasing(triplets, 1000)
+        assert len(set(labels)) <= best_fit_decreasing(triplets, 1000)
+    assert better >= 3
+
+
+def test_islands_start_differently_and_evolution_goes_on_at_the_lower_bound():
+    sizes = np.random.default_rng(9).integers(1, 300, 400)
+    births = [[] for _ in range(3)]
+    got = [evolve(sizes, 1000, 3, None, i, births[i]) for i in range(3)]
+    assert all(births) and len({tuple(x[1]) for x in got}) == 3
+
+
 def run(spark, rows, shard):
     df = spark.createDataFrame(rows, "k string, n long, units string")
     return pack(df, key="k", size="n", capacity=100, shard=shard).collect()

@@ -431,7 +431,7 @@ def nearest(vectors: DataFrame, *, key: str, vector: str, dim: int, k: int = 5,
     total = vectors.count()  # of the files' footers; unusable rows only make parts a little smaller
     base = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("embedding")).filter(F.col("key").isNotNull() & (F.size("embedding") == dim))
     tree = _tree(spark, base, total, dim, p)
-    deep = total > 2 * p.leaf * p.tree  # the broadcast classifiers don't reach parts of the wanted size
+    deep = deep_tree = total > 2 * p.leaf * p.tree  # the broadcast classifiers don't reach parts of the wanted size
     shared = share(spark, tree)
     named = base.select("key", name.alias("class"), "embedding")
     sent = named.select("class", "embedding").mapInArrow(_send(shared, dim, p.probes, not deep), _SENT)
@@ -442,6 +442,8 @@ def nearest(vectors: DataFrame, *, key: str, vector: str, dim: int, k: int = 5,
         n /= p.fan
         deep = n > 2 * p.leaf
         sent = _descend(sent, sizes, dim, p, s, not deep)
+    if not deep_tree:  # a task for about every cell, so a task's share doesn't grow with the collection
+        sent = sent.repartition(int(min((tree.blocks**2).sum(), 200_000)), "part", "cell")
     found = sent.groupBy("part", "cell").applyInPandas(_rerank(k, dim, least), "class binary, near binary, cosine double")
     # the same pair comes from several parts
     pairs = found.groupBy("class", "near").agg(F.max("cosine").alias("cosine"))

@@ -2,9 +2,13 @@
 
 A solution is a set of containers, and containers are what is inherited: crossover injects well-filled containers of one parent into the
 other, removes those that share an item with them, and puts the displaced items back by best fit, longest first.  Items are dealt to
-shards of about ``SHARD`` by a hash; each shard is evolved on several islands whose elites migrate along a ring between epochs.  A shard
-that reaches its lower bound of containers stops.  What lies in badly filled containers is taken out and dealt again to fewer shards,
-until one shard holds the rest, so the waste doesn't grow with the number of shards.
+shards of about ``SHARD`` by a hash; each shard is evolved on several islands, which start from differently disturbed orders and whose
+elites migrate along a ring between epochs.  Evolution goes on after the lower bound of containers is reached, as it also gathers the free
+space in few containers; it stops early only at a solution that cannot be bettered (all containers full but one).
+
+A round settles the containers filled to ``WELL_FILLED``, or the better-filled half of a shard where fewer are; what lies in the others is
+taken out and dealt again to fewer shards, until one shard holds the rest.  At least half the containers settle in a round, so there are
+about log2 of the number of shards rounds at most, no round is cut off, and only one shard keeps a partly empty tail.
 
 An item is split only if it alone exceeds the capacity: into full containers of its own and one remainder, which is packed like any item.
 A task sees shards, never all items; the tables of each round are written to the shared folder.
@@ -83,13 +87,15 @@ def _mutate(bins: list[list[int]], free: list[int], sizes: np.ndarray, capacity:
     return new, room
 
 
-def evolve(sizes: np.ndarray, capacity: int, seed: int, migrants: list[np.ndarray] | None = None) -> tuple[float, np.ndarray]:
-    """The best solution of an island, as (fitness, container of each item)."""
+def evolve(sizes: np.ndarray, capacity: int, seed: int, migrants: list[np.ndarray] | None = None, island: int = 0, births: list[tuple[float, int]] | None = None) -> tuple[float, np.ndarray]:
+    """The best solution of an island, as (fitness, container of each item).  The first island starts with an undisturbed best fit by size, the
+    others with disturbed ones only.  ``births`` takes (fitness, containers) of every child of a crossover."""
     n = len(sizes)
     if not n:
         return 1.0, np.zeros(0, int)
     rng = np.random.default_rng(seed)
     least = -(-int(sizes.sum()) // capacity)
+    perfect = (least - 1 + ((int(sizes.sum()) - (least - 1) * capacity) / capacity) ** 2) / least
     population = []
     for labels in migrants or []:
         bins: list[list[int]] = [[] for _ in range(int(labels.max()) + 1)]
@@ -97,20 +103,21 @@ def evolve(sizes: np.ndarray, capacity: int, seed: int, migrants: list[np.ndarra
             bins[c].append(x)
         population.append((bins, [capacity - int(sizes[c].sum()) for c in bins]))
     while len(population) < POPULATION:
-        noise = 0.0 if not population else 0.15
+        noise = 0.0 if not (population or island or migrants) else 0.08 * (1 + island + len(population))
         order = np.lexsort((np.arange(n), -sizes * (1 + noise * rng.standard_normal(n))))
         bins, free = [], []
         _best_fit(bins, free, [int(x) for x in order], sizes, capacity)
         population.append((bins, free))
-        if len(bins) == least:
-            break
     score = lambda s: _fitness(s[1], capacity)
     population.sort(key=score, reverse=True)
     for _ in range(GENERATIONS):
-        if len(population[0][0]) == least or len(population) < 2:
+        if score(population[0]) > perfect - 1e-12:
             break
         i, j = sorted(rng.choice(len(population), 2, replace=False))
-        child = _mutate(*_cross(population[j][0], population[i][0], sizes, capacity, rng), sizes, capacity, rng)
+        crossed = _cross(population[j][0], population[i][0], sizes, capacity, rng)
+        child = max(crossed, _mutate(*crossed, sizes, capacity, rng), key=score)
+        if births is not None:
+            births.append((score(child), len(child[0])))
         population = sorted([*population, child], key=score, reverse=True)[:POPULATION]
     bins, free = population[0]
     labels = np.zeros(n, int)
@@ -125,7 +132,7 @@ def _island(capacity: int, epoch: int):
             rows = []
             for shard, island, sizes, migrants in zip(b["shard"], b["island"], b["sizes"], b["migrants"], strict=True):
                 elites = [np.asarray(m, int) for m in migrants] if migrants is not None else None
-                fit, labels = evolve(np.asarray(sizes, np.int64), capacity, int(shard) * 1009 + int(island) * 31 + epoch, elites)
+                fit, labels = evolve(np.asarray(sizes, np.int64), capacity, int(shard) * 1009 + int(island) * 31 + epoch, elites, int(island))
                 rows.append((shard, island, fit, labels.tolist()))
             yield pd.DataFrame(rows, columns=["shard", "island", "fitness", "labels"])
 
@@ -180,16 +187,12 @@ def pack(items: DataFrame, *, key: str, size: str, capacity: int, shard: int = S
         shards = lists.select("shard", F.col("items.units").alias("sizes"))
         best = _pack_shards(shards, capacity, s)
         placed_at = lists.join(best, "shard").select("shard", F.explode(F.arrays_zip(F.col("items.item").alias("item"), F.col("items.units").alias("units"), F.col("labels").alias("label"))).alias("x")).select("shard", "x.*")
-        fills = placed_at.groupBy("shard", "label").agg(F.sum("units").alias("fill"), F.collect_list("item").alias("members"))
-        keep = (F.col("fill") >= WELL_FILLED * capacity) if n_shards > 1 else F.lit(True)
-        settled = s.write(fills.select("shard", "label", keep.alias("keep"), F.explode("members").alias("item")), "settled")
+        fills = s.write(placed_at.groupBy("shard", "label").agg(F.sum("units").alias("fill"), F.collect_list("item").alias("members")), "fills")
+        enough = fills.groupBy("shard").agg(F.least(F.lit(WELL_FILLED * capacity), F.percentile("fill", F.lit(0.5))).alias("enough"))
+        keep = (F.col("fill") >= F.col("enough")) if n_shards > 1 else F.lit(True)
+        settled = s.write(fills.join(enough, "shard").select("shard", "label", keep.alias("keep"), F.explode("members").alias("item")), "settled")
         named = settled.filter("keep").select("item", F.concat_ws("-", F.lit(level), "shard", "label").alias("container"))
         done.append(todo.join(named, "item").select(*out, "container"))
         left = s.write(todo.join(settled.filter("!keep").select("item"), "item", "left_semi"), "left")
-        now = left.count()
-        if now > n // 2 and n_shards > 1:  # the sizes don't fill containers any better: accept this round as it is
-            rest = settled.filter("!keep").select("item", F.concat_ws("-", F.lit(level), "shard", "label").alias("container"))
-            done.append(todo.join(rest, "item").select(*out, "container"))
-            break
-        todo, n, level = left, now, level + 1
+        todo, n, level = left, left.count(), level + 1
     return reduce(DataFrame.unionByName, done).withColumnRenamed("key", key)
