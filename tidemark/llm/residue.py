@@ -1,10 +1,14 @@
 """Template residue and error-page text.
 
 Labelled exemplars of residue (filler, error pages, notices that scripts are needed) lie in an inverted index from word to exemplars.
-A window of ``WINDOW`` words slides over every passage; its containment in an exemplar is the share of its TF-IDF weight whose words the
-exemplar holds.  Windows of high containment cover their words, and a text is excluded when they cover its main part: ``COVERAGE`` of its
-words, headline and page furniture aside.  A text with an unfilled placeholder is excluded wherever it stands, unless the passage around
-it is contained in the exemplars of passages that explain placeholders.
+They are the common wordings of servers, browsers and page builders in several languages, and no text of the corpus.  A window of
+``WINDOW`` words slides over every passage; its containment is the share of its TF-IDF weight whose words the exemplars hold.  A window is
+residue where one exemplar is retrieved with ``RETRIEVED`` and all those of a label together contain ``CONTAINMENT`` of it.  Such windows
+cover their words, and a text is excluded when they cover its main part: ``COVERAGE`` of its words, headline and page furniture aside.
+
+Placeholders are looked up by their notation (delimiters and kinds of names) among labelled exemplars of placeholders and of what looks
+alike.  A text with an unfilled one is excluded wherever it stands, unless the passage around it is contained in the exemplars of passages
+that explain placeholders.
 
 Document frequencies are counted over all texts into 2**18 hashed slots, so what is broadcast has a fixed size; rare words that share a
 slot only weigh a little less.  Two scans, one small aggregation, no shuffle of texts; texts are read whole.
@@ -26,97 +30,161 @@ from pyspark.sql import functions as F
 from tidemark.shared import received, share
 
 WINDOW = 8
-CONTAINMENT = 0.6
+CONTAINMENT = 0.5  # of a window, in all exemplars of a label
+RETRIEVED = 0.35  # of a window, in one of them
+FLOOR = 10.0  # weight added to a full window, so that one of common words alone is contained in nothing
 COVERAGE = 0.5
+RAREST = 1e-5  # share of the texts below which words weigh the same
 SLOTS = 1 << 18
 MENTION = 0.5
+STEM = 5  # letters of a word that count
 
-# fixed values: labelled exemplars of residue
+# fixed values: labelled exemplars of residue, the common wordings of web servers, browsers, frameworks and page builders
 EXEMPLARS = {
     "filler": [
-        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-        "dolora sitam consecta adipra eiusmo tempora incidi labora magnar aliqa enimva quisno exerci ullamo commod duisa irura pariar velit fugiat nulla nisi aute",
-        "Body copy goes here. Click to edit this paragraph. Your headline goes here. Subheading placeholder. Write two or three sentences about results. Add a short description of the company in this box. Replace this sample text with your own summary. This is dummy content for layout purposes only.",
-        "This page is under construction. Content for this section will be added later. Check back for the full report. Details to follow. Coming soon.",
-        "Revenue: to be completed. Guidance: TBD. Outlook: n/a. Risks: tbc. Thesis: coming soon. Catalysts: tba. Segment notes: -",
+        "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+        "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam, eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo. Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit.",
+        "Your text here. Insert your content here. Type something. Add a title, a subtitle, a headline or a heading. Click to edit or double-click to change this text block.",
+        "Placeholder text. Sample text. Dummy text for layout and design. Body text goes here; title goes here; description goes here; caption goes here. Replace it with your own text or copy.",
+        "Write a short paragraph or a few sentences about your company, team, product or service in this box. Tell your visitors your story. Start typing to add content.",
+        "Welcome. This is your first post. Edit or delete it, then start writing. This is an example of a sample page. Just another site. Hello world.",
+        "This page is under construction. Coming soon. Stay tuned. New content will be published or added here later; please check back soon. This section is empty, a draft, a stub; full version and more details to follow.",
+        "Title: TBD. Summary: to be completed. Author: n/a. Date: TBA. Overview: tbc. Background: to be added. Conclusion: to be announced. Outlook: pending. Notes: none. Risks: to be determined. Budget: to be confirmed. Status: not available.",
+        "foo bar baz qux foobar test test testing one two three asdf qwerty hjkl xxx yyy zzz blah blah",
+        "The quick brown fox jumps over the lazy dog.",
     ],
     "error": [
-        "404 Not Found. The page you asked for could not be found on this site. It may have been moved or removed.",
-        "Error 404. We can't find that filing. Try the search box or go back to the home page.",
-        "This article is no longer available. It was withdrawn by the publisher or the link has expired.",
-        "502 Bad Gateway nginx edge proxy gateway front",
-        "503 Service Temporarily Unavailable. Please retry in 5 minutes. Request id 6f7866.",
-        "Internal Server Error. The server met an unexpected condition and could not complete the request.",
-        "Oops! Something went wrong on our end. Our team has been told. Incident 8ffaa7.",
-        "Too many requests. You have reached the limit of 100 requests per hour; slow down and try again.",
-        "Access denied. You do not have permission to view this resource on this server. Reference #b7d9.",
-        "html head title 403 Forbidden title head body center h1 Forbidden Gateway Time-out Bad Gateway Not Found Service Unavailable h1 center hr nginx body html",
-        "error code 500 message upstream request timeout trace 3b18",
-        "Traceback (most recent call last): File render.py line 10, in page KeyError: headline ValueError TypeError",
-        "java.net.SocketTimeoutException: read timed out at zq.feed.Reader.next(Reader.java:187) at zq.feed.Loop.run(Loop.java:35)",
-        "Sorry, the market data feed did not respond. Reload in 30 seconds; if this keeps happening write to support.",
-        "Maintenance in progress. The site will be back at 05:00 UTC.",
-        "Your session has expired. Sign in again to continue reading about this company.",
-        "This content is available to subscribers in selected regions only. Your region is not supported yet.",
-        "Redirecting you to the site. If nothing happens, follow the link.",
-        "Seite nicht gefunden. Die gewünschte Meldung existiert nicht mehr oder wurde verschoben. Fehlercode 404.",
-        "Erreur 500 : le service est momentanément indisponible. Merci de réessayer plus tard. Réf. 7f0d",
-        "Página no encontrada. El enlace que siguió ha caducado o es incorrecto.",
+        "404 Not Found. The requested URL was not found on this server. Page not found. File not found.",
+        "The page you requested could not be found. It may have been moved, renamed or deleted, it no longer exists, or the address was mistyped. The link you followed may be broken or out of date.",
+        "Sorry, we can't find what you are looking for. Try searching with the search box, go back to the previous page, or return to the home page.",
+        "The resource you are looking for has been removed, had its name changed, or is temporarily unavailable.",
+        "This page isn't working. The site is currently unable to handle this request. HTTP error. This site can't be reached; it took too long to respond. The connection was reset, was refused or timed out. Check your network or proxy.",
+        "500 Internal Server Error. The server encountered an unexpected internal error or misconfiguration or condition and was unable to complete your request. Please contact the administrator.",
+        "503 Service Unavailable. The service is temporarily unavailable; the server is unable to handle the request because of maintenance or overload. Please try again later, or retry after some minutes.",
+        "502 Bad Gateway. The proxy server received an invalid response from an upstream server. 504 Gateway Timeout. The gateway did not receive a timely response. nginx apache openresty varnish cache server guru meditation.",
+        "403 Forbidden. Access denied. You don't have permission or authorization to access or view this page, directory or resource on this server. 401 Unauthorized: authentication or valid credentials are required. Reference number.",
+        "429 Too Many Requests. You have sent too many requests in a given time; the rate limit or quota was reached or exceeded. Slow down, wait and try again in an hour.",
+        "Oops! Whoops! Something went wrong on our side. An error occurred while processing. Our engineers have been notified or informed and are working to fix the problem. Incident number, error id, request id, trace id, event id.",
+        "Application error: an exception has occurred while loading; see the console or logs for more information. Reload or refresh the page in a few seconds. If the problem persists or keeps happening, contact support by email.",
+        "This content is no longer available. The article, story, post or document was deleted, withdrawn, unpublished or archived by its author or publisher, or has expired.",
+        "Your session has timed out or expired due to inactivity. Please log in or sign in again to continue reading.",
+        "This content is not available in your country, region or location. Only subscribers and registered members can read or view this. Create an account or subscribe to continue. Not supported in your market.",
+        "The site is down for scheduled maintenance and will be back online shortly. We are performing an upgrade, in progress now. Thank you for your patience. We apologize for the inconvenience.",
+        "You are being redirected. Redirecting to another page. If you are not redirected automatically or nothing happens within seconds, click here or follow the link.",
+        "The data could not be loaded. Failed to load or fetch the feed. No response from the server. No data received. Unable to connect or retrieve results.",
+        '{"error": {"code": 404, "status": "error", "message": "resource not found", "details": [], "timestamp": 0, "path": "/", "request_id": "0", "trace_id": "0"}} upstream connect error or disconnect before headers; upstream request timeout; connection timeout; reset reason: overflow; no healthy upstream; success: false',
+        "Traceback (most recent call last): File app.py, line 1, in module: raise. ValueError, TypeError, KeyError, AttributeError, IndexError, RuntimeError, ImportError: object has no attribute, invalid literal, list index out of range, not defined.",
+        "Exception in thread main: java.lang.NullPointerException, java.lang.IllegalStateException, java.io.IOException, java.net.ConnectException, java.net.UnknownHostException: connection refused, read timed out at com.example.Main.run(Main.java:1) at Loop.next, Reader, Handler, Socket, Thread, Client. Caused by: more.",
+        "Fatal error: Uncaught exception, call to undefined function in index.php on line 1. Warning: undefined variable. Error establishing a database connection. SQL syntax error near. Segmentation fault, core dumped.",
+        "html head title 404 Not Found 403 Forbidden 502 Bad Gateway 503 Service Temporarily Unavailable 504 Gateway Time-out title head body center h1 h1 center hr nginx center body html doctype public",
+        "Seite nicht gefunden. Die angeforderte Seite konnte leider nicht gefunden werden. Sie existiert nicht mehr, wurde gelöscht, verschoben oder umbenannt, oder ist nicht mehr verfügbar. Prüfen Sie die Adresse oder gehen Sie zurück zur Startseite. Dieser Artikel oder Inhalt ist abgelaufen.",
+        "Interner Serverfehler. Es ist ein Fehler aufgetreten. Der Dienst ist derzeit vorübergehend nicht erreichbar oder verfügbar. Bitte versuchen Sie es später noch einmal oder erneut. Fehlercode, Fehlernummer. Zugriff verweigert: Sie haben keine Berechtigung. Wartungsarbeiten. Ihre Sitzung ist abgelaufen, bitte melden Sie sich erneut an.",
+        "Page introuvable. La page demandée n'existe pas ou plus, a été supprimée ou déplacée, ou n'est plus disponible. Le lien est rompu ou a expiré. Vérifiez l'adresse ou retournez à la page d'accueil.",
+        "Erreur interne du serveur. Une erreur est survenue ou s'est produite. Le service est temporairement ou momentanément indisponible. Veuillez réessayer ultérieurement ou plus tard. Code d'erreur, référence. Accès refusé ou interdit: vous n'avez pas l'autorisation. Site en maintenance. Votre session a expiré, veuillez vous reconnecter.",
+        "Página no encontrada. La página solicitada o que busca no existe, no está disponible, ha sido eliminada o movida. El enlace está roto, ha caducado o la dirección es incorrecta. Vuelva a la página de inicio.",
+        "Error interno del servidor. Se ha producido un error. El servicio no está disponible temporalmente en este momento. Inténtelo de nuevo más tarde. Código de error. Acceso denegado: no tiene permiso. Sitio en mantenimiento. Su sesión ha caducado o expirado, inicie sesión de nuevo.",
+        "Pagina non trovata. La pagina richiesta non esiste o è stata rimossa o spostata. Errore interno del server. Si è verificato un errore. Il servizio non è al momento disponibile. Riprova più tardi. Accesso negato.",
+        "Página não encontrada. A página solicitada não existe ou foi removida. Erro interno do servidor. Ocorreu um erro. O serviço está temporariamente indisponível. Tente novamente mais tarde. Acesso negado.",
     ],
     "script": [
-        "Please enable JavaScript to view this page. Some features of the site will not work without it.",
-        "You need to turn on JavaScript in your browser to run this app.",
-        "Checking your browser before you access the site. This takes about 5 seconds. Ray fcab2.",
-        "noscript This chart service requires script support. Switch it on and refresh. noscript",
-        "Your browser does not support scripts or they are switched off, so the report on the company can't be shown.",
-        "Verify you are human by completing the check below. Scripts and cookies must be allowed to continue.",
-        "We use cookies that need scripting. It looks like a blocker is active; disable it and reload to read the article.",
-        "Es necesario habilitar JavaScript para mostrar este contenido.",
-        "Bitte aktivieren Sie JavaScript in Ihrem Browser, um den Inhalt dieser Seite zu sehen.",
-        "Veuillez activer JavaScript et les cookies pour poursuivre votre lecture.",
+        "JavaScript is disabled or turned off in your browser. Please enable or turn on JavaScript to view, use or continue to this page, site or app. Reload once it is on.",
+        "You need to enable JavaScript to run this app. This application requires JavaScript. For full functionality of this site it is necessary to enable JavaScript; some features will not work properly without it.",
+        "JavaScript is not available or not supported. We have detected that scripts are blocked or switched off in this browser. Please allow, activate or switch on scripting or use a supported browser; your browser does not support it, so the content can't be shown or displayed.",
+        "Enable JavaScript and cookies to continue. Checking if the site connection is secure. Checking your browser before accessing the site; this process is automatic and takes a few seconds. Ray id. Just a moment, please wait.",
+        "Verify that you are a human and not a robot by completing the security check or captcha below. We detected unusual traffic or activity from your network.",
+        "Your browser is out of date or not supported. Please upgrade your browser. noscript: this page, widget, player or chart requires script support.",
+        "It looks like you are using an ad blocker. Please disable your blocker or add this site to the allow list and refresh or reload the page to continue reading. We use cookies; accept cookies.",
+        "JavaScript ist deaktiviert. Bitte aktivieren Sie JavaScript und Cookies in Ihrem Browser, um diese Seite oder den Inhalt anzuzeigen, zu sehen oder zu nutzen. Für diese Anwendung wird JavaScript benötigt.",
+        "JavaScript est désactivé. Veuillez activer JavaScript et les cookies dans votre navigateur pour afficher cette page, accéder au contenu ou continuer votre visite ou lecture. Ce site nécessite JavaScript.",
+        "JavaScript está desactivado o deshabilitado. Active o habilite JavaScript y las cookies en su navegador para ver, mostrar o acceder a este contenido o página. Es necesario o se requiere JavaScript.",
+        "JavaScript è disabilitato. Abilita JavaScript e i cookie nel browser per visualizzare questa pagina. O JavaScript está desativado. Ative o JavaScript no seu navegador para ver esta página.",
     ],
 }
 # fixed values: page furniture that may surround any text
-FURNITURE = ["Home | Markets | Contact", "Menu  Search  Log in", "© All rights reserved.", "About us | Contact | Privacy | Terms", "Share  Print  Subscribe", "coralwire.example tapewire.example quillnews.example basinpress.example northdesk.example ledgerpost.example"]
-# fixed values: passages that explain or quote placeholders
+FURNITURE = [
+    "Home | News | Markets | Contact | Help | Imprint",
+    "Menu Search Log in Sign in Register Subscribe",
+    "Copyright (c) All rights reserved.",
+    "About us | Contact | Privacy policy | Terms of use | Cookies | Sitemap",
+    "Share Print Email Save Follow us Back to top",
+]
+# fixed values: passages that explain, quote or define placeholders
 MENTIONS = [
-    "The alert body is rendered from a template in which a field stands for the trading day; the renderer fills it before the message is sent.",
-    "In our naming guide this marks a shell variable and that a format slot; neither may appear in published notes.",
-    "the placeholder syntax denotes a template variable that is replaced with its value when rendered",
-    "the style guide writes the token as an example of a merge field and template variable",
+    "The syntax uses braces to mark a variable; the template engine substitutes it and replaces it with its value when the page is rendered.",
+    "In the manual, the token in brackets denotes a merge field, which stands for the name and is filled in by the renderer before sending.",
+    "The guide writes it as an example of a format string or format slot, a shell variable or an environment variable; such notation or naming marks a parameter.",
+    "The subject line and the body of the message are rendered from a template with fields for the date or the day, which the sender fills in before the alert is sent.",
+    "where the expression is a set, an interval or an array that is indexed by a number; see the footnote",
 ]
+# fixed values: labelled exemplars of unfilled placeholders, by notation, and of what only looks alike
+PLACEHOLDERS = [
+    "{{name}}", "{{ user.name }}", "{{first name}}", "{{{body}}}", "${name}", "${user.name}", "#{name}", "{$name}", "<%= name %>", "<% name %>", "<%=name%>", "[[name]]", "[[first name]]", "<<name>>", "<<First Name>>", "@@NAME@@", "@@name@@",
+    "%(name)s", "%(count)d", "%(share)f", "%%NAME%%", "«Name»", "«FirstName»", "«first_name»", "[NAME]", "[COMPANY NAME]", "[FIRST_NAME]", "<NAME>", "<COMPANY NAME>", "<FIRST_NAME>", "&lt;name&gt;", "&lt;company name&gt;", "&LT;NAME&GT;",
+    "__NAME__", "__name__", "{0}", "{12}", "[●]", "[•]", "[insert name]", "[INSERT NAME]", "[Insert the date here]", "[enter amount]", "[your name]", "[Company Name Here]", "[date tbd]", "____ .", "________ report", "XX", "XX.X", "XX.XX", "TODO: text",
+]
+NO_PLACEHOLDERS = ["[sic]", "[SIC]", "[3]", "[12]", "[n]", "[applause]", "{n}", "{1, 2}", "{a: b}", "[a, b]", "____________________", "<p>", "<br>", "<BR>", "<TABLE>", "<a href>", "&lt;p&gt;", "&lt;br&gt;", "&lt;table&gt;"]
 # fixed values: HTML element names, which aren't placeholders
-_TAGS = "html|head|title|body|center|hr|br|p|b|i|u|em|strong|a|div|span|noscript|script|style|table|tr|td|th|ul|ol|li|pre|code|img|h[1-6]|meta|link|form|input|button|section|article|nav|footer|header|sic"
-# fixed values: unfilled placeholders, by style
-PLACEHOLDER = re.compile(
-    r"\{\{\s*[\w .-]{1,40}\s*\}\}"
-    r"|[$#]\{\s*\w[\w .-]{0,40}\}"
-    r"|\{\$\w{1,40}\}"
-    r"|<%=?\s*[\w .-]{1,40}\s*%>"
-    r"|\[\[\s*[\w .-]{1,40}\s*\]\]"
-    r"|<<\s*[\w .-]{1,40}\s*>>"
-    r"|@@\w{2,40}@@"
-    r"|%\(\w{1,40}\)[sdf]"
-    r"|«\w{2,40}»"
-    r"|\[insert\b[^\]\n]{1,60}\]|\[INSERT\b[^\]\n]{1,60}\]"
-    rf"|\[(?!(?:SIC|{_TAGS})\])[A-Z][A-Z_ ]{{2,40}}\]"
-    rf"|<(?!/?(?:{_TAGS.upper()})\b)[A-Z][A-Z_ ]{{2,40}}>"
-    rf"|&lt;(?!/?(?:{_TAGS})\b)\w[\w -]{{1,40}}&gt;|&LT;\w[\w -]{{1,40}}&GT;"
-    r"|(?<![\w_])__[A-Za-z]\w{1,40}?__(?![\w_])"
-    r"|(?<=[^\s_])[ \t]*(?<!_)_{4,11}(?!_)|(?<!_)_{4,11}(?!_)(?=[ \t]*[^\s_])"
-    r"|\[[●•]\]"
-    r"|\{\d{1,2}\}"
-    r"|\bXX(?:\.X+)?\b"
-    r"|\bTODO:\s*\w"
+TAGS = set("html head title body center hr br p b i u em strong a div span noscript script style table tr td th tbody thead ul ol li pre code img h1 h2 h3 h4 h5 h6 meta link form input button section article nav footer header sub sup".split())
+# every notation by its delimiters; which of them are placeholders is told by the exemplars
+_SPAN = re.compile(
+    r"\{\{\{?[^{}\n]{1,60}\}\}\}?|[$#]\{[^{}\n]{1,60}\}|\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|\[\[[^\[\]\n]{1,60}\]\]|\[[^\[\]\n]{1,80}\]|<<[^<>\n]{1,60}>>|<[^<>\n]{1,60}>|«[^«»\n]{1,60}»"
+    r"|@@\w{1,60}@@|%%\w{1,60}%%|%\(\w{1,60}\)[a-z]|(?i:&lt;)[^&\n]{1,60}(?i:&gt;)|(?<!\w)__[A-Za-z]\w{0,60}?__(?!\w)|_{4,}|\bX{2,}(?:\.X+)?\b|\bTODO:"
 )
-_MAYBE = re.compile(r"[{\[<@«&_]|%\(|XX|TODO:")  # what every placeholder holds
+_MAYBE = re.compile(r"[{\[<@«&_]|%\(|%%|XX|TODO:")  # what every span holds
 _WORD = re.compile(r"[^\W_]+")
+_SITE = re.compile(r"\b(?:[a-z0-9-]+\.)+(?:com|org|net|info|example|io|co)\b")
 _DIGIT = re.compile(r"\d")
+_RUN = re.compile(r"[^\W\d_][\w.-]*")
 
 
 def tokens(text: str) -> list[str]:
-    """Words without letter case; all numbers and identifiers with digits are one word."""
-    return ["9" if _DIGIT.search(w) else w for w in _WORD.findall(text.lower())]
+    """Words without letter case and endings; all numbers and identifiers with digits are one word."""
+    return ["9" if _DIGIT.search(w) else w[:STEM] for w in _WORD.findall(text.lower())]
+
+
+def notation(span: str) -> tuple[str, str]:
+    """How a span is written, its names and numbers reduced to their kind, and the names themselves."""
+    if set(span) == {"_"}:
+        return ("____" if len(span) < 12 else "line"), ""
+    if span == "TODO:" or set(span) <= {"X", "."}:
+        return ("XX" if span[0] == "X" and len(span.split(".")[0]) == 2 else span), ""
+    kind = re.sub(r"\d+", "9", _RUN.sub(lambda m: "A" if m.group() == m.group().upper() and len(m.group()) > 1 else "a", span))
+    kind = re.sub(r"\s+", " ", kind).replace("lt;", "").replace("gt;", "")
+    kind = re.sub(r"(?:[aA][ _]?)*a(?:[ _]?[aA9])*", "a", re.sub(r"A(?:[ _]?A)+", "A", kind))
+    return re.sub(r"(?<=\W) | (?=\W)", "", kind), " ".join(_RUN.findall(re.sub(r"(?i)&[lg]t;", " ", span.replace("_", " ")))).lower()
+
+
+class Notations:
+    """Notation -> labelled exemplars; a span is what the exemplars of its notation are, told apart by their words where they differ."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, list[tuple[bool, set[str]]]] = {}
+        for bad, spans in ((True, PLACEHOLDERS), (False, NO_PLACEHOLDERS)):
+            for x in spans:
+                m = _SPAN.search(x)
+                kind, names = notation(m.group())
+                self.held.setdefault(kind, []).append((bad, set(names.split())))
+
+    def is_placeholder(self, span: str) -> bool:
+        kind, names = notation(span)
+        found = self.held.get(kind)
+        if found is None:
+            return False
+        ws = set(names.split())
+        if ws & TAGS and span[0] in "<&" and names.split()[0] in TAGS:
+            return False
+        labels = {bad for bad, _ in found}
+        if len(labels) == 1:
+            return labels.pop()
+        if any(not bad and ws == held for bad, held in found):
+            return False
+        if kind in ("[A]", "<A>") or kind[0] == "&":  # capitals and escaped names are a field unless an exemplar says otherwise
+            return True
+        return any(bad and ws & held & _CALLS for bad, held in found)
+
+
+# fixed values: words by which a phrase in brackets calls for a text
+_CALLS = {"insert", "enter", "your", "here", "tbd"}
 
 
 def _slot(word: str) -> int:
@@ -150,25 +218,31 @@ def document_frequencies(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 class Index:
-    """Word -> exemplars, with the weights of the words in the corpus."""
+    """Word -> exemplars and their labels, with the weights of the words in the corpus."""
 
-    def __init__(self, df: np.ndarray, n_texts: int):
+    def __init__(self, df: np.ndarray, n_texts: int, exemplars: dict[str, list[str]] | None = None):
         self.df, self.n, self.weights = df, n_texts, {}
-        labelled = [(label, x) for label, xs in EXEMPLARS.items() for x in xs]
+        bank = exemplars if exemplars is not None else EXEMPLARS
+        labelled = [(k, x) for k, xs in enumerate(bank.values()) for x in xs]
+        self.width = len(labelled)
+        # a word's columns: the exemplars, then the labels, that hold it
         self.held: dict[str, np.ndarray] = {}
-        for k, (_, x) in enumerate(labelled):
+        for k, (label, x) in enumerate(labelled):
             for w in tokens(x):
-                self.held.setdefault(w, np.zeros(len(labelled), bool))[k] = True
+                row = self.held.setdefault(w, np.zeros(len(labelled) + len(bank), bool))
+                row[k] = row[len(labelled) + label] = True
         self.furniture = [set(tokens(x)) for x in FURNITURE]
-        self.mentions = [set(tokens(x)) for x in MENTIONS]
-        self.none = np.zeros(len(labelled), bool)
+        self.mentions = set().union(*(tokens(x) for x in MENTIONS))
+        self.none = np.zeros(len(labelled) + len(bank), bool)
+        self.notations = Notations()
 
     def weight(self, w: str) -> float:
         got = self.weights.get(w)
         if got is None:
             if len(self.weights) > 500_000:
                 self.weights.clear()
-            got = self.weights[w] = math.log1p(self.n / (1.0 + self.df[_slot(w)]))
+            share = (1.0 + self.df[_slot(w)]) / max(self.n, 1)
+            got = self.weights[w] = -math.log(min(1.0, max(share, RAREST)))
         return got
 
     def covered(self, ws: list[str], weights: np.ndarray) -> np.ndarray:
@@ -178,9 +252,11 @@ class Index:
         held = np.stack([self.held.get(w, self.none) for w in ws])
         sums = np.vstack([np.zeros(held.shape[1]), np.cumsum(held * weights[:, None], axis=0)])
         total = np.concatenate([[0.0], np.cumsum(weights)])
-        inside = (sums[width:] - sums[:-width]) / np.maximum(total[width:] - total[:-width], 1e-9)[:, None]
-        hit = inside.max(axis=1) >= CONTAINMENT
-        if n >= WINDOW:
+        inside = (sums[width:] - sums[:-width]) / (total[width:] - total[:-width] + FLOOR * width / WINDOW)[:, None]
+        hit = (inside[:, self.width :].max(axis=1) >= CONTAINMENT) & (inside[:, : self.width].max(axis=1) >= RETRIEVED)
+        if n >= WINDOW:  # a window that one exemplar holds word by word, whatever its weight
+            count = np.vstack([np.zeros(self.width), np.cumsum(held[:, : self.width], axis=0)])
+            hit |= (count[width:] - count[:-width]).max(axis=1) == width
             changes = np.concatenate([[0], np.cumsum([a != b for a, b in zip(ws, ws[1:], strict=False)])])
             hit |= changes[width - 1 :] == changes[: n - width + 1]
         return np.convolve(hit.astype(int), np.ones(width, int))[:n] > 0
@@ -189,7 +265,7 @@ class Index:
         parts = [p for p in re.split(r"\n[ \t\r]*\n", text) if p.strip()]
         words = []
         for p in parts:
-            lines = [tokens(line) for line in p.split("\n")]
+            lines = [tokens(_SITE.sub(" ", line.lower())) for line in p.split("\n")]
             words.append([w for ws in lines if not self._furniture(ws) for w in ws])
         share = self._coverage([w for ws in words for w in ws])
         if len(parts) > 1 and words[0] and len(_WORD.findall(parts[0])) <= 12 and not re.search(r"[.!?]\s*$", parts[0]):
@@ -211,7 +287,9 @@ class Index:
         width = min(WINDOW, n)
         held = np.concatenate([[0.0], np.cumsum(weights * np.array([w in self.held for w in ws]))])
         total = np.concatenate([[0.0], np.cumsum(weights)])
-        hit = held[width:] - held[:-width] >= CONTAINMENT * (total[width:] - total[:-width]) - 1e-6
+        hit = held[width:] - held[:-width] >= CONTAINMENT * (total[width:] - total[:-width] + FLOOR * width / WINDOW) - 1e-6
+        known = np.concatenate([[0], np.cumsum([w in self.held for w in ws])])
+        hit |= known[width:] - known[:-width] == width
         changes = np.concatenate([[0], np.cumsum([x != y for x, y in zip(ws, ws[1:], strict=False)])])
         hit |= changes[width - 1 :] == changes[: n - width + 1]
         return float((np.convolve(hit.astype(int), np.ones(width, int))[:n] > 0).mean())
@@ -223,16 +301,20 @@ class Index:
         """A placeholder that no explaining passage holds."""
         if not _MAYBE.search(text):
             return False
-        for m in PLACEHOLDER.finditer(text):
-            start = max(text.rfind(". ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
-            ends = [e for e in (text.find(". ", m.end()), text.find("\n", m.end())) if e >= 0]
-            around = text[start : m.start()] + " " + text[m.end() : min(ends) if ends else len(text)]
+        for m in _SPAN.finditer(text):
+            if not self.notations.is_placeholder(m.group()):
+                continue
+            if m.group()[0] == "_" and m.group()[-1] == "_" and set(m.group()) == {"_"}:
+                line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()] + text[m.end() : (text.find("\n", m.end()) + 1 or len(text) + 1) - 1]
+                if not line.strip():
+                    continue  # a rule across the page
             if text[max(0, m.start() - 1) : m.start()] == "`":
                 continue
-            ws = tokens(around)
+            start = max(text.rfind(". ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
+            ends = [e for e in (text.find(". ", m.end()), text.find("\n", m.end())) if e >= 0]
+            ws = tokens(text[start : m.start()] + " " + text[m.end() : min(ends) if ends else len(text)])
             total = sum(self.weight(w) for w in ws)
-            best = max(sum(self.weight(w) for w in ws if w in held) for held in self.mentions)
-            if not total or best < MENTION * total:
+            if not total or sum(self.weight(w) for w in ws if w in self.mentions) < MENTION * total:
                 return True
         return False
 
