@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 64
-HOT = 100_000  # rows from which a key counts as hot; also at least a thousandth of the rows, so at most 1,000 keys are
+HOT = 100_000  # rows from which a key counts as hot
 
 
-def lookup(rows: DataFrame, one_per_key: DataFrame, key: str, how: str = "left") -> DataFrame:
+def lookup(rows: DataFrame, one_per_key: DataFrame, key: str, how: str = "left", at_most: int | None = None) -> DataFrame:
     """``rows`` joined to ``one_per_key`` on ``key``, hot keys spread over ``SALTS`` tasks.
 
-    The hot keys, at most 1,000 by their definition, are broadcast; their rows on the right are repeated once per salt.  Null keys match
-    nothing and are kept by a left join.
+    The hot keys are those of more than ``HOT`` rows, the 1,000 largest of them at most (any other then has less than a thousandth of the
+    rows); they are found by one aggregation, which a caller saves who knows that there are ``at_most`` so many rows.  Their rows on the right
+    are repeated once per salt.  Null keys match nothing and are kept by a left join.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
-    if total < HOT:
+    if at_most is not None and at_most <= HOT:
         return rows.join(one_per_key, key, how)
-    hot = [r[0] for r in counts.filter((F.col("n") > max(HOT, total // 1000)) & F.col(key).isNotNull()).select(key).collect()]
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = [r[0] for r in counts.filter((F.col("n") > HOT) & F.col(key).isNotNull()).orderBy(F.desc("n")).limit(1000).select(key).collect()]
     if not hot:
         return rows.join(one_per_key, key, how)
     is_hot = F.col(key).isin(hot)
