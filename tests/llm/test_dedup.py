@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.dedup import id_part, page_part, repeats
+from tidemark.llm.dedup import History, id_part, page_part, repeats
 
 
 def brute(rows):
@@ -23,11 +23,41 @@ def test_greedy_acceptance_in_any_number_of_deliveries(spark):
     rows = [(f"d{i:03d}", t0 + timedelta(hours=rng.randrange(200)) if rng.random() > 0.05 else None, part("e"), part("u")) for i in range(150)]
     rows += rows[:3]
     df = spark.createDataFrame(rows, "doc string, ts timestamp_ntz, a string, b string").withColumn("parts", F.lit("clash"))
-    for n in (1, 3):
-        got = {tuple(r) for r in repeats(df, doc="doc", ts="ts", parts=[F.col("a"), F.col("b")], deliveries=n).collect()}
+    for n in (0, 1, 100):
+        got = {tuple(r)[:2] for r in repeats(df, doc="doc", ts="ts", parts=[F.col("a"), F.col("b")], daily=n).collect()}
         assert got == brute(rows)
 
 
+def test_history_is_opened_again_by_another_session(spark, tmp_path):
+    rng, t0 = random.Random(8), datetime(2024, 1, 1)
+    part = lambda c: rng.choice([None, f"{c}hot", f"{c}{rng.randrange(40)}"])
+    rows = [(f"d{i:03d}", t0 + timedelta(hours=i), part("e"), part("u")) for i in range(96)]
+    got, path = set(), f"{tmp_path}/history"
+    for k in range(4):  # one UTC day after the other, each in a session that knows nothing of the others
+        one = spark.newSession()
+        df = one.createDataFrame(rows[24 * k : 24 * (k + 1)], "doc string, ts timestamp_ntz, a string, b string")
+        history = History(one, path, buckets=4 if k == 0 else 99)
+        assert history.buckets in (4, 2) and history.empty == (k == 0)
+        got |= {tuple(r)[:2] for r in repeats(df, doc="doc", ts="ts", parts=[F.col("a"), F.col("b")], history=history).collect()}
+        history.forget()  # another catalog
+        if k == 2:
+            History(one, path).compact(buckets=2)
+    assert got == brute(rows)
+    again = {tuple(r)[:2] for r in repeats(df, doc="doc", ts="ts", parts=[F.col("a"), F.col("b")], history=History(one, path)).collect()}
+    assert again <= got  # delivered once more, nothing is accepted twice
+    assert History(one, path).table().groupBy("part").count().filter("count > 1").isEmpty()
+
+
+def test_a_daily_batch_meets_the_history_bucket_by_bucket(spark, tmp_path):
+    history = History(spark, f"{tmp_path}/history", buckets=3)
+    rows = [(f"p{i}", f"d{i}", datetime(2024, 1, 1)) for i in range(50)]
+    history.append(spark.createDataFrame(rows, "part string, doc string, ts timestamp_ntz"))
+    hits = history.holders(spark.createDataFrame([("p1",), ("x",), ("p1",)], "part string"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "SelectedBucketsCount: 3 out of 3" in plan and "Exchange" not in plan[plan.rindex("Sort [") :]
+    assert [tuple(r) for r in hits.collect()] == [("p1", "d1")]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc string, ts timestamp, a string")
     assert repeats(df, doc="doc", ts="ts", parts=[F.col("a")]).count() == 0

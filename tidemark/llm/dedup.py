@@ -1,9 +1,9 @@
 """Deduplicating new batches against all history.
 
 What identifies a document is its *parts*: hashes of its normalised content.  Here the parts are its external id within its source and
-the page its url leads to; a full copy shares all of them, a partial one some.  A batch's parts are met with the history by a join on
-buckets: the history's hashes lie in a bucketed table, so only the batch is moved.  What is left is decided within the batch in the
-order of arrival, and the parts of what is accepted are appended.  The history itself is never read whole into a task nor rewritten.
+the page its url leads to; a full copy shares all of them, a partial one some.  A batch's distinct parts are met with the history by a
+semi-join on buckets: the history's hashes lie in a bucketed table in a folder of its own, which any later session opens again, so only
+the batch is moved.  What is left is decided within the batch in the order of arrival, and the parts of what is accepted are appended.
 
 Within a batch acceptance is sequential (a document that repeats only rejected ones is accepted), but not decided one by one: a document
 that is the first undecided one in each of its parts is accepted, those that share a part with it are rejected, and so on; the first
@@ -13,13 +13,14 @@ round decides nearly all.  Documents with equal parts are one in these rounds.
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import trimmed
 from tidemark.operators.lookup import lookup
-from tidemark.scratch import Scratch
+from tidemark.scratch import Scratch, children, remove
 
 BUCKETS = 64
 
@@ -55,73 +56,117 @@ def page_part(url: Column) -> Column:
 
 
 class History:
-    """The hashes of everything accepted, (part, doc, ts), in a bucketed table in the shared folder."""
+    """The hashes of everything accepted, (part, doc, ts), in a bucketed table below ``path``, which outlives the session.
 
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
-        self.scratch = Scratch(spark, "accepted")
-        self.name = "tidemark_" + self.scratch.root.rsplit("-", 1)[1]
-        self.empty = True
+    The number of buckets is fixed when a history is begun and read from its folder when it is opened again; the catalog only has to know
+    the folder, so any session that can read it goes on with it.  A part has one holder, as a document that shares one isn't accepted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.root = spark, path.rstrip("/")
+        done = sorted(f for f in children(spark, self.root) if f.startswith("g") and "_SUCCESS" in children(spark, f"{self.root}/{f}"))
+        self.generation, self.buckets = (int(done[-1][1:6]), int(done[-1].split("-b")[1])) if done else (0, buckets)
+        self.empty = not done
+        self.schema = ""
+        if done:
+            self._register(self.spark.read.parquet(self.path).schema.simpleString()[7:-1].replace(":", " "))
+
+    @property
+    def path(self) -> str:
+        return f"{self.root}/g{self.generation:05d}-b{self.buckets}"
+
+    @property
+    def name(self) -> str:
+        return "tidemark_history_" + md5(self.path.encode()).hexdigest()[:16]
+
+    def _register(self, schema: str) -> None:
+        self.spark.sql(f"create table if not exists {self.name} ({schema}) using parquet clustered by (part) sorted by (part) into {self.buckets} buckets location '{self.path}'")
+        self.spark.catalog.refreshTable(self.name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def holders(self, parts: DataFrame) -> DataFrame:
+        """(part, repeats) for the distinct ``parts`` that the history holds; they are dealt to its buckets, it stays where it is."""
+        asked = parts.select("part").distinct().repartition(self.buckets, "part")
+        return asked.hint("merge").join(self.table().select("part", F.col("doc").alias("repeats")), "part")
+
     def append(self, parts: DataFrame) -> None:
         rows = parts.select("part", "doc", "ts").repartition(self.buckets, "part")
-        writer = rows.write.mode("append").format("parquet").bucketBy(self.buckets, "part").sortBy("part")
-        writer.option("path", f"{self.scratch.root}/history").saveAsTable(self.name)
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "part").sortBy("part").option("path", self.path).saveAsTable(self.name)
         self.empty = False
 
+    def compact(self, buckets: int | None = None) -> None:
+        """Write the many small files of daily appends as one a bucket, also into another number of buckets; readers of the old ones aren't
+        disturbed until the next call, which removes them."""
+        if self.empty:
+            return
+        rows, old = self.table(), [f for f in children(self.spark, self.root) if f.startswith("g") and int(f[1:6]) < self.generation]
+        self.generation, self.buckets = self.generation + 1, buckets or self.buckets
+        self.append(rows)
+        for f in old:
+            remove(self.spark, f"{self.root}/{f}")
+
     def forget(self) -> None:
-        """Drop the table's entry; its files go with the session."""
+        """Drop the catalog's entry; the files stay."""
         self.spark.sql(f"drop table if exists {self.name}")
 
 
 def admit(batch: DataFrame, history: History, s: Scratch) -> DataFrame:
-    """Decide ``batch``(doc, ts, parts), append what is accepted to ``history`` and give (doc, repeats) for what isn't, one row per
-    accepted document that it repeats."""
+    """Decide ``batch``(doc, ts, parts), append what is accepted to ``history`` and give (doc, repeats, coverage) for what isn't, one row per
+    accepted document that it repeats, coverage the share of its parts that this one holds.
+
+    A batch that is admitted again after its parts were appended gives the same but for the pairs within it, and appends nothing."""
     docs = s.write(batch.select("doc", "ts", F.array_sort(F.array_distinct(F.filter("parts", lambda p: p.isNotNull()))).alias("parts")).filter("size(parts) > 0"), "docs")
-    parts = docs.select("doc", "ts", F.explode("parts").alias("part"))
-    everyone, pairs = docs, []
+    rows = docs.agg(F.sum(F.size("parts"))).first()[0] or 0
+    long = lambda d, *c: d.select(*c, F.explode("parts").alias("part"))
+    pairs, tables = [], [docs]
     if not history.empty:
-        old = history.table().select("part", F.col("doc").alias("repeats"))
-        known = s.write(parts.select("part", "doc").join(old, "part").select("doc", "repeats").distinct(), "known")
+        # the history meets each part of the batch once, bucket by bucket; a hot one doesn't travel
+        hits = history.holders(long(docs))
+        met = lookup(long(docs, "doc", F.size("parts").alias("n")), hits, "part", "inner", at_most=rows)
+        known = s.write(met.groupBy("doc", "repeats").agg((F.count(F.lit(1)) / F.max("n")).alias("coverage")), "known")
         pairs.append(known)
-        docs = s.write(docs.join(known.select("doc").distinct(), "doc", "left_anti"), "new")
+        fresh = docs.join(known.select("doc").distinct(), "doc", "left_anti")
+    else:
+        fresh = docs
     # documents of equal parts are one: the first speaks for all
     first = F.min(F.struct("ts", "doc")).alias("at")
-    undecided = s.write(docs.groupBy("parts").agg(first).select("at", "parts"), "undecided")
+    undecided = s.write(fresh.groupBy("parts").agg(first).select("at", "parts"), "undecided")
     accepted = []
-    while not undecided.isEmpty():
-        long = undecided.select("at", F.explode("parts").alias("part"))
-        heads = long.groupBy("part").agg(F.min("at").alias("head"))
-        standing = lookup(long, heads, "part", "inner").groupBy("at").agg(F.every(F.col("at") == F.col("head")).alias("wins"))
-        wins = s.write(undecided.join(standing.filter("wins").select("at"), "at", "left_semi"), "wins")
+    while n := undecided.count():
+        heads = long(undecided, "at").groupBy("part").agg(F.min("at").alias("head"))
+        each = lookup(long(undecided, "at", "parts"), heads, "part", "inner", at_most=n * rows)
+        standing = s.write(each.groupBy("at").agg(F.first("parts").alias("parts"), F.every(F.col("at") == F.col("head")).alias("wins"), F.collect_set("head").alias("heads")), "standing")
+        wins = standing.filter("wins").select("at", "parts")
         accepted.append(wins)
-        taken = wins.select(F.explode("parts").alias("part")).withColumn("taken", F.lit(True))
-        hit = lookup(long, taken, "part", "inner").select("at").distinct()
-        left = s.write(undecided.join(hit, "at", "left_anti"), "undecided")
+        # whoever has a winner before it in one of its parts is out
+        lost = standing.filter("not wins").select("at", F.explode("heads").alias("head")).join(wins.select(F.col("at").alias("head")), "head", "left_semi").select("at").distinct()
+        left = s.write(standing.filter("not wins").select("at", "parts").join(lost, "at", "left_anti"), "undecided")
         s.drop(undecided)
+        tables.append(standing)
         undecided = left
     if accepted:
-        won = reduce(DataFrame.unionByName, accepted).select("at.doc", "at.ts", F.explode("parts").alias("part"))
-        won = s.write(won, "accepted")
+        won = s.write(long(reduce(DataFrame.unionByName, accepted), F.col("at.doc").alias("doc"), F.col("at.ts").alias("ts")), "accepted")
         holders = won.select("part", F.struct("ts", "doc").alias("holder"))
-        inside = lookup(everyone.select(F.struct("ts", "doc").alias("at"), F.explode("parts").alias("part")), holders, "part", "inner")
+        inside = lookup(long(docs, F.struct("ts", "doc").alias("at"), F.size("parts").alias("n")), holders, "part", "inner", at_most=rows)
         # a winner holds all its parts itself; the others repeat the holders that came before them
-        losers = inside.filter("holder < at").select("at.doc", F.col("holder.doc").alias("repeats")).distinct()
+        losers = inside.filter("holder < at").groupBy(F.col("at.doc").alias("doc"), F.col("holder.doc").alias("repeats")).agg((F.count(F.lit(1)) / F.max("n")).alias("coverage"))
         pairs.append(s.write(losers, "pairs"))
         history.append(won)
-    if not pairs:
-        return docs.limit(0).select("doc", F.col("doc").alias("repeats"))
-    return reduce(DataFrame.unionByName, pairs)
+        tables.append(won)
+    out = reduce(DataFrame.unionByName, pairs) if pairs else docs.limit(0).select("doc", F.col("doc").alias("repeats"), F.lit(1.0).alias("coverage"))
+    if pairs:
+        s.drop(*tables)
+    return out
 
 
-def repeats(documents: DataFrame, *, doc: str, ts: str, parts: list[Column], deliveries: int = 4) -> DataFrame:
-    """(doc, repeats): each document and the earlier accepted ones that it repeats, taken in the order of ``ts``, then ``doc``.
+def repeats(documents: DataFrame, *, doc: str, ts: str, parts: list[Column], daily: int = 3, history: History | None = None) -> DataFrame:
+    """(doc, repeats, coverage): each document and the earlier accepted ones that it repeats, taken in the order of ``ts``, then ``doc``.
 
-    The documents come in daily batches; consecutive days go through ``admit`` together, in about ``deliveries`` calls, which decides
-    the same, as within a call the order of arrival rules too.
+    The last ``daily`` UTC days come as the daily batches they are, each checked against the history of all before; what is older comes in
+    one delivery, whose documents are decided among themselves in the same order, so the rows are those of a batch a day.
+    With ``history`` the documents are taken after what it holds, and it goes on holding what was accepted; else one is made for the call.
     Nulls: documents without ``ts`` or ``doc`` are left aside; a null part is no part, and a document without any is accepted and repeats
     nothing.  A document delivered again under the same id at another time repeats itself and gives no pair.  Empty tables give no rows.
     Other columns are ignored.
@@ -132,13 +177,11 @@ def repeats(documents: DataFrame, *, doc: str, ts: str, parts: list[Column], del
     rows = documents.select(F.col(doc).alias("doc"), F.col(ts).alias("ts"), hashed.alias("parts")).filter("doc is not null and ts is not null")
     rows = s.write(rows, "hashed")
     day = F.to_date("ts")
-    ends = rows.select(F.datediff(day, F.lit("1970-01-01").cast("date")).alias("d")).agg(F.percentile_approx("d", [(i + 1) / deliveries for i in range(deliveries - 1)] + [1.0])).first()[0]
-    history, found, after = History(spark), [], -(10**9)
-    n = F.datediff(day, F.lit("1970-01-01").cast("date"))
-    for end in sorted(set(ends or [])):
-        found.append(admit(rows.filter((n > after) & (n <= end)), history, s))
-        after = end
-    history.forget()
-    if not found:
-        return rows.select("doc", F.col("doc").alias("repeats")).limit(0)
+    last = [r[0] for r in rows.select(day.alias("d")).distinct().orderBy(F.desc("d")).limit(daily).collect()]
+    own, found = history or History(spark, s.path("history")), []
+    found.append(admit(rows.filter(day < min(last)) if last else rows, own, s))
+    for d in sorted(last):
+        found.append(admit(rows.filter(day == F.lit(d)), own, s))
+    if history is None:
+        own.forget()
     return reduce(DataFrame.unionByName, found).filter("doc != repeats")
