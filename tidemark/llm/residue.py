@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -137,9 +136,22 @@ _DIGIT = re.compile(r"\d")
 _RUN = re.compile(r"[^\W\d_][\w.-]*")
 
 
+def token(word: str) -> str:
+    """A word without its ending; all numbers and identifiers with digits are one word."""
+    return "9" if _DIGIT.search(word) else word[:STEM]
+
+
 def tokens(text: str) -> list[str]:
-    """Words without letter case and endings; all numbers and identifiers with digits are one word."""
-    return ["9" if _DIGIT.search(w) else w[:STEM] for w in _WORD.findall(text.lower())]
+    """Words without letter case and endings."""
+    return [token(w) for w in _WORD.findall(text.lower())]
+
+
+class Slots(dict):
+    """Word -> hashed slot of its token, for the words met so far."""
+
+    def __missing__(self, word: str) -> int:
+        got = self[word] = _slot(token(word))
+        return got
 
 
 def notation(span: str) -> tuple[str, str]:
@@ -195,17 +207,13 @@ def document_frequencies(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """The number of texts that hold a word, in hashed slots, and the number of texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, slots, n = Counter(), np.zeros(SLOTS + 1, np.int64), 0
+        slot_of, slots, n = Slots(), np.zeros(SLOTS + 1, np.int64), 0
         for b in batches:
             for t in b["t"]:
-                seen.update(set(tokens(t)))
+                slots[list({slot_of[w] for w in set(_WORD.findall(t.lower()))})] += 1
                 n += 1
-            if len(seen) > 500_000:
-                for w, c in seen.items():
-                    slots[_slot(w)] += c
-                seen.clear()
-        for w, c in seen.items():
-            slots[_slot(w)] += c
+            if len(slot_of) > 500_000:
+                slot_of.clear()
         slots[SLOTS] = n
         used = np.flatnonzero(slots)
         yield pd.DataFrame({"slot": used, "n": slots[used]})
@@ -217,39 +225,67 @@ def document_frequencies(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out[:SLOTS], int(out[SLOTS])
 
 
+class Codes(dict):
+    """Word -> code of its token, numbered as they are met."""
+
+    def __init__(self, index: Index):
+        self.index, self.of_token = index, {}
+
+    def __missing__(self, word: str) -> int:
+        t = token(word)
+        code = self.of_token.get(t)
+        if code is None:
+            code = self.of_token[t] = len(self.of_token)
+            self.index.learn(code, t)
+        self[word] = code
+        return code
+
+
 class Index:
     """Word -> exemplars and their labels, with the weights of the words in the corpus."""
 
     def __init__(self, df: np.ndarray, n_texts: int, exemplars: dict[str, list[str]] | None = None):
-        self.df, self.n, self.weights = df, n_texts, {}
+        self.df, self.n = df, n_texts
         bank = exemplars if exemplars is not None else EXEMPLARS
         labelled = [(k, x) for k, xs in enumerate(bank.values()) for x in xs]
         self.width = len(labelled)
-        # a word's columns: the exemplars, then the labels, that hold it
-        self.held: dict[str, np.ndarray] = {}
+        # a word's columns: the exemplars, then the labels, that hold it; row 0 is held by none
+        self.row: dict[str, int] = {}
+        held = [np.zeros(len(labelled) + len(bank), bool)]
         for k, (label, x) in enumerate(labelled):
             for w in tokens(x):
-                row = self.held.setdefault(w, np.zeros(len(labelled) + len(bank), bool))
-                row[k] = row[len(labelled) + label] = True
-        self.furniture = [set(tokens(x)) for x in FURNITURE]
+                if w not in self.row:
+                    self.row[w] = len(held)
+                    held.append(np.zeros(len(labelled) + len(bank), bool))
+                held[self.row[w]][[k, len(labelled) + label]] = True
+        self.held = np.stack(held)
         self.mentions = set().union(*(tokens(x) for x in MENTIONS))
-        self.none = np.zeros(len(labelled) + len(bank), bool)
         self.notations = Notations()
+        self.reset()
 
-    def weight(self, w: str) -> float:
-        got = self.weights.get(w)
-        if got is None:
-            if len(self.weights) > 500_000:
-                self.weights.clear()
-            share = (1.0 + self.df[_slot(w)]) / max(self.n, 1)
-            got = self.weights[w] = -math.log(min(1.0, max(share, RAREST)))
-        return got
+    def reset(self) -> None:
+        self.codes = Codes(self)
+        self.weights, self.rows = np.zeros(1 << 16), np.zeros(1 << 16, np.int32)
+        self.furniture = [set(self.coded(x)) for x in FURNITURE]
+
+    def learn(self, code: int, t: str) -> None:
+        if code == len(self.weights):
+            self.weights, self.rows = np.concatenate([self.weights, np.zeros(code)]), np.concatenate([self.rows, np.zeros(code, np.int32)])
+        self.weights[code], self.rows[code] = self.weight(t), self.row.get(t, 0)
+
+    def weight(self, t: str) -> float:
+        share = (1.0 + self.df[_slot(t)]) / max(self.n, 1)
+        return -math.log(min(1.0, max(share, RAREST)))
 
-    def covered(self, ws: list[str], weights: np.ndarray) -> np.ndarray:
+    def coded(self, text: str) -> list[int]:
+        code = self.codes
+        return [code[w] for w in _WORD.findall(text.lower())]
+
+    def covered(self, ws: np.ndarray) -> np.ndarray:
         """Which words stand in a window contained in residue, or made of one repeated word."""
         n = len(ws)
         width = min(WINDOW, n)
-        held = np.stack([self.held.get(w, self.none) for w in ws])
+        weights, held = self.weights[ws], self.held[self.rows[ws]]
         sums = np.vstack([np.zeros(held.shape[1]), np.cumsum(held * weights[:, None], axis=0)])
         total = np.concatenate([[0.0], np.cumsum(weights)])
         inside = (sums[width:] - sums[:-width]) / (total[width:] - total[:-width] + FLOOR * width / WINDOW)[:, None]
@@ -257,44 +293,45 @@ class Index:
         if n >= WINDOW:  # a window that one exemplar holds word by word, whatever its weight
             count = np.vstack([np.zeros(self.width), np.cumsum(held[:, : self.width], axis=0)])
             hit |= (count[width:] - count[:-width]).max(axis=1) == width
-            changes = np.concatenate([[0], np.cumsum([a != b for a, b in zip(ws, ws[1:], strict=False)])])
-            hit |= changes[width - 1 :] == changes[: n - width + 1]
+            hit |= _constant(ws, width)
         return np.convolve(hit.astype(int), np.ones(width, int))[:n] > 0
 
     def is_residue(self, text: str) -> tuple[bool, float]:
-        parts = [p for p in re.split(r"\n[ \t\r]*\n", text) if p.strip()]
-        words = []
+        if len(self.codes) > 500_000:
+            self.reset()
+        parts = [p for p in re.split(r"\n[ \t\r]*\n", _SITE.sub(" ", text.lower())) if p.strip()]
+        words, first = [], 0
         for p in parts:
-            lines = [tokens(_SITE.sub(" ", line.lower())) for line in p.split("\n")]
+            lines = [self.coded(line) for line in p.split("\n")]
+            first = first or len(words) == 0 and sum(map(len, lines))
             words.append([w for ws in lines if not self._furniture(ws) for w in ws])
         share = self._coverage([w for ws in words for w in ws])
-        if len(parts) > 1 and words[0] and len(_WORD.findall(parts[0])) <= 12 and not re.search(r"[.!?]\s*$", parts[0]):
+        if len(parts) > 1 and words[0] and first <= 12 and not re.search(r"[.!?]\s*$", parts[0]):
             share = max(share, self._coverage([w for ws in words[1:] for w in ws]))  # the first block is a headline or residue itself
         return share >= COVERAGE, share
 
-    def _coverage(self, ws: list[str]) -> float:
+    def _coverage(self, words: list[int]) -> float:
         """The share of the words that residue covers; 0 where it is below ``COVERAGE`` without sliding a window."""
-        if not ws:
+        if not words:
             return 0.0
-        own = np.array([self.weight(w) for w in ws])
-        if self._bound(ws, own) < COVERAGE:
+        ws = np.array(words)
+        if self._bound(ws) < COVERAGE:
             return 0.0
-        return float(self.covered(ws, own).mean())
+        return float(self.covered(ws).mean())
 
-    def _bound(self, ws: list[str], weights: np.ndarray) -> float:
+    def _bound(self, ws: np.ndarray) -> float:
         """At least the share that ``covered`` finds: windows judged by the words that any exemplar holds."""
         n = len(ws)
         width = min(WINDOW, n)
-        held = np.concatenate([[0.0], np.cumsum(weights * np.array([w in self.held for w in ws]))])
-        total = np.concatenate([[0.0], np.cumsum(weights)])
-        hit = held[width:] - held[:-width] >= CONTAINMENT * (total[width:] - total[:-width] + FLOOR * width / WINDOW) - 1e-6
-        known = np.concatenate([[0], np.cumsum([w in self.held for w in ws])])
-        hit |= known[width:] - known[:-width] == width
-        changes = np.concatenate([[0], np.cumsum([x != y for x, y in zip(ws, ws[1:], strict=False)])])
-        hit |= changes[width - 1 :] == changes[: n - width + 1]
-        return float((np.convolve(hit.astype(int), np.ones(width, int))[:n] > 0).mean())
-
-    def _furniture(self, ws: list[str]) -> bool:
+        weights, known = self.weights[ws], self.rows[ws] > 0
+        gain = np.concatenate([[0.0], np.cumsum(weights * (known - CONTAINMENT))])
+        hit = gain[width:] - gain[:-width] >= CONTAINMENT * FLOOR * width / WINDOW - 1e-6
+        count = np.concatenate([[0], np.cumsum(known)])
+        hit |= count[width:] - count[:-width] == width
+        hit |= _constant(ws, width)
+        return float((np.convolve(hit.astype(int), np.ones(width, int))[:n] > 0).mean()) if hit.any() else 0.0
+
+    def _furniture(self, ws: list[int]) -> bool:
         return len(ws) <= 12 and any(held.issuperset(ws) for held in self.furniture)
 
     def unfilled(self, text: str) -> bool:
@@ -319,6 +356,12 @@ class Index:
         return False
 
 
+def _constant(ws: np.ndarray, width: int) -> np.ndarray:
+    """Which windows are one word repeated."""
+    changes = np.concatenate([[0], np.cumsum(np.diff(ws, prepend=ws[0]) != 0)])
+    return changes[width:] == changes[1 : len(ws) - width + 2]
+
+
 def residue(texts: DataFrame, *, key: str, text: str) -> DataFrame:
     """The texts to exclude: (key, reason, coverage); reason 'placeholder' or 'main_part', coverage that of the main part by residue.
 
