@@ -42,6 +42,16 @@ def test_spans_and_rest(spark):
     assert leaks(d.limit(0), i, key="doc_id", text="text", item_key="item_id", item_text="text").count() == 0
 
 
+def test_cleaning_keeps_the_stored_text_and_takes_all_where_little_is_left(spark):
+    item = " ".join(f"x{i}" for i in range(13))
+    odd = "X0​ X\u00ad1, " + " ".join(f"X{i}" for i in range(2, 13))
+    d = spark.createDataFrame([(1, f"Straße​ ẞ İ Before, {odd}! After ÉTÉ" + " more" * 20, "x"), (2, f"Vor {odd} nach", "x")], TEXTS)
+    i = spark.createDataFrame([(7, item)], ITEMS)
+    rows = {r.doc_id: r for r in leaks(d, i, key="doc_id", text="text", item_key="item_id", item_text="text", clean=True, max_coverage=0.5).collect()}
+    assert rows[1].rest == "Straße​ ẞ İ Before, ! After ÉTÉ" + " more" * 20 and rows[1].coverage == 13 / 39
+    assert rows[2].rest is None and rows[2].coverage == 13 / 15
+
+
 def test_automaton_is_linear():
     a = Automaton([(0, ["a"] * 300), (1, [str(i) for i in range(300)])], 3)
     assert len(a.length) <= 2 * 600

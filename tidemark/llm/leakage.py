@@ -2,10 +2,12 @@
 
 A generalised suffix automaton over the words of the evaluation items is built once; every training text is streamed through it
 word by word, which gives at each word the longest match that ends there.  Matches of ``min_words`` words or more are leaks, of all
-items that hold the matched words; the spans they cover can be removed.
+items that hold the matched words.  Cleaning takes the spans they cover out of the text as it is stored, and the whole text where the
+spans cover more than a limit of its words.
 
-The automaton is broadcast.  Its size is checked: items beyond ``MAX_WORDS`` words are cut into shares that each make an automaton of
-bounded size, and the corpus is streamed once for each.  The corpus is neither shuffled nor sampled, and texts are read whole.
+The automaton is broadcast.  Its size is checked: items are streamed to the driver in order of their keys, and whenever ``MAX_WORDS`` words
+have come they make an automaton of that bounded size and are let go; the corpus is streamed once for each.  The corpus is neither
+shuffled nor sampled, and texts are read whole.
 """
 
 from __future__ import annotations
@@ -35,6 +37,13 @@ def normal(text: str) -> str:
     return _INVISIBLE.sub("", text).casefold()
 
 
+def origins(text: str) -> list[int] | None:
+    """The position in ``text`` of every character of its normal form; None where they are the same."""
+    if not _INVISIBLE.search(text) and len(text.casefold()) == len(text):
+        return None
+    return [i for i, c in enumerate(text) if not _INVISIBLE.match(c) for _ in c.casefold()]
+
+
 def words(text: str) -> list[str]:
     """Runs of letters and digits without letter case, once invisible characters have been dropped."""
     return _WORD.findall(normal(text))
@@ -118,7 +127,7 @@ class Automaton:
                 yield i, n, v
 
 
-def _stream(automaton_of, key_type: str, item_type: str, clean: bool):
+def _stream(automaton_of, clean: bool, max_coverage: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a: Automaton = received(automaton_of)
         for b in batches:
@@ -140,38 +149,46 @@ def _stream(automaton_of, key_type: str, item_type: str, clean: bool):
                         spans.append([i + 1 - n, i + 1])
                 if found:
                     covered = sum(e - s for s, e in spans)
-                    kept, at = [], 0
-                    if clean:
+                    coverage, rest = covered / len(spots), None
+                    if clean and coverage <= max_coverage:
+                        place, kept, at = origins(text), [], 0
                         for s, e in spans:
-                            kept.append(norm[at : spots[s].start()])
-                            at = spots[e - 1].end()
-                        kept.append(norm[at:])
-                    rows.append((key, sorted(found), [{"first_word": s, "last_word": e - 1} for s, e in spans], covered, len(spots), "".join(kept) if clean else None))
-            yield pd.DataFrame(rows, columns=["key", "items", "spans", "covered_words", "n_words", "rest"])
+                            first, last = spots[s].start(), spots[e - 1].end() - 1
+                            kept.append(text[at : place[first] if place else first])
+                            at = (place[last] if place else last) + 1
+                        rest = "".join([*kept, text[at:]])
+                    rows.append((key, sorted(found), [{"first_word": s, "last_word": e - 1} for s, e in spans], covered, len(spots), coverage, rest))
+            yield pd.DataFrame(rows, columns=["key", "items", "spans", "covered_words", "n_words", "coverage", "rest"])
 
     return run
 
 
-def leaks(texts: DataFrame, items: DataFrame, *, key: str, text: str, item_key: str, item_text: str, min_words: int = MIN_WORDS, clean: bool = False, max_words: int = MAX_WORDS) -> DataFrame:
-    """The texts that share ``min_words`` successive words with an item: (key, items, spans, covered_words, n_words, rest).
+def leaks(
+    texts: DataFrame, items: DataFrame, *, key: str, text: str, item_key: str, item_text: str, min_words: int = MIN_WORDS, clean: bool = False, max_coverage: float = 1.0, max_words: int = MAX_WORDS
+) -> DataFrame:
+    """The texts that share ``min_words`` successive words with an item: (key, items, spans, covered_words, n_words, coverage, rest).
 
-    spans are maximal runs of matched words; ``clean`` gives in rest the normalised text without them.  With items in several shares a
-    text has one row per share in which it leaks.
+    spans are maximal runs of matched words, coverage the share of the words they cover; ``clean`` gives in rest the text as stored without
+    them, null where coverage is above ``max_coverage``.  With items in several shares a text has one row per share in which it leaks.
     Nulls and empty texts or items match nothing; texts and items of fewer words neither.  Repeated texts come out each; items with equal
     text are all reported.  Empty tables give no rows.  Other columns are ignored.
     """
     spark = texts.sparkSession
-    rows = [(r[0], words(r[1])) for r in items.select(item_key, item_text).filter(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).toLocalIterator()]
-    shares: list[list] = [[]]
-    size = 0
-    for r in sorted(rows):
-        if size and size + len(r[1]) > max_words:
-            shares.append([])
-            size = 0
-        shares[-1].append(r)
-        size += len(r[1])
     kt, it = texts.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"key {kt}, items array<{it}>, spans array<struct<first_word: int, last_word: int>>, covered_words int, n_words int, rest string"
+    schema = f"key {kt}, items array<{it}>, spans array<struct<first_word: int, last_word: int>>, covered_words int, n_words int, coverage double, rest string"
     source = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
-    parts = [source.mapInPandas(_stream(share(spark, Automaton(part, min_words)), kt, it, clean), schema) for part in shares]
+    present = items.select(item_key, item_text).filter(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).orderBy(item_key, item_text)
+    parts, held, size = [], [], 0
+
+    def make() -> None:
+        parts.append(source.mapInPandas(_stream(share(spark, Automaton(held, min_words)), clean, max_coverage), schema))
+
+    for k, t in present.toLocalIterator():
+        ws = words(t)
+        if size and size + len(ws) > max_words:
+            make()
+            held, size = [], 0
+        held.append((k, ws))
+        size += len(ws)
+    make()
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("key", key)

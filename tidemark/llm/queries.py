@@ -41,7 +41,7 @@ def p7_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf: str, clean: bool) -> DataFrame:
-    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), key="doc_id", text="text", item_key="item_id", item_text="text", clean=clean)
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), key="doc_id", text="text", item_key="item_id", item_text="text", clean=clean, max_coverage=0.5)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,9 +49,8 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_removed(spark: SparkSession, sf: str) -> DataFrame:
-    """Every leaking text with its matched spans, the share of it they cover, and what is left without them."""
-    out = _leaks(spark, sf, True)
-    return out.select("doc_id", "spans", (F.col("covered_words") / F.col("n_words")).alias("coverage"), "rest")
+    """Every leaking text with its matched spans, the share of it they cover, and what is left without them: null where they are most of it."""
+    return _leaks(spark, sf, True).select("doc_id", "spans", "coverage", "rest")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,5 +61,29 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p7_windows": p7_windows, "p8_found": p8_found, "p8_removed": p8_removed, "p9_found": p9_found}
 
 
+_LONG = "length(replace(x, chr(2), 'ab')) > 2000"  # chr(2) stands for a line break of two characters
+_NL = r"[\x02\n\r]"
+
+_P2_SQL = rf"""
+with c as (select id, replace(content, chr(13) || chr(10), chr(2)) t from rag_chunks),
+a as (select id, list_filter([t], lambda x: {_LONG}) l from c),
+p as (select id, list_filter(regexp_split_to_array(l[1], '{_NL}([ \t]*{_NL})+'), lambda x: {_LONG}) l from a where len(l) > 0),
+n as (select id, l p, list_filter(flatten(list_transform(l, lambda t: regexp_split_to_array(t, '{_NL}'))), lambda x: {_LONG}) l from p),
+s as (select id, p, l n, list_filter(flatten(list_transform(l, lambda t: string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))), lambda x: {_LONG}) l from n),
+w as (select id, p, n, l s, list_filter(flatten(list_transform(l, lambda t: regexp_split_to_array(t, '\s+'))), lambda x: {_LONG}) w from s)
+select distinct id chunk_id, case when len(p) = 0 then 'paragraph' when len(n) = 0 then 'line' when len(s) = 0 then 'sentence' when len(w) = 0 then 'word' else 'inside_word' end boundary from w
+"""
+
+_HIDDEN = r"[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0000}-\x{E0FFF}\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]"
+
+_P8_SQL = rf"""
+with d as (select doc_id id, regexp_extract_all(lower(regexp_replace(text, '{_HIDDEN}', '', 'g')), '[\p{{L}}\p{{N}}]+') w from documents where text is not null),
+i as (select item_id id, regexp_extract_all(lower(regexp_replace(text, '{_HIDDEN}', '', 'g')), '[\p{{L}}\p{{N}}]+') w from eval_items where text is not null),
+di as (select distinct id, array_to_string(w[k:k + 12], ' ') g from (select id, w, unnest(range(1, len(w) - 11)) k from d where len(w) >= 13)),
+ii as (select distinct id, array_to_string(w[k:k + 12], ' ') g from (select id, w, unnest(range(1, len(w) - 11)) k from i where len(w) >= 13))
+select distinct di.id doc_id, ii.id item_id from di join ii using (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": _P2_SQL, "p8_found": _P8_SQL}
