@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tidemark.operators.nested import element_objects, json_nodes
+from tidemark.operators.nested import element_objects, json_elements, json_nodes, json_values
 
 
 def opened(v):
@@ -52,6 +52,8 @@ TEXTS = [
     None,
     '[{"x":null}, null, "t", {"y":"{not json"}]',
     '{"a":1} x',
+    '"\\u005b{\\"z\\":\\u005b{}]}]"',
+    '["\\u005B{}]"]',
     "[" * 15 + "{}" + "]" * 15,
     '{"a":' * 30 + "[{}]" + "}" * 30,
 ]
@@ -64,6 +66,11 @@ def test_elements_match_a_recursive_walk(spark):
         got.setdefault(r.k, set()).add((r.path, r.parent))
     for i, t in enumerate(TEXTS):
         assert got.get(i, set()) == brute(t), t
+    own = [(r.k, r.path, r.parent) for r in json_elements(df, ["k"], ["t"]).collect()]
+    assert sorted(own) == sorted((k, *x) for k, xs in got.items() for x in xs)
+    pick = ["k", "path", "parent", "member", "position", "value"]
+    values = json_nodes(df, ["k"], ["t"]).filter("shape = 'value'").select(*pick)
+    assert sorted(values.collect(), key=repr) == sorted(json_values(df, ["k"], ["t"]).select(*pick).collect(), key=repr)
 
 
 def test_values_keep_their_parents_and_several_columns(spark):

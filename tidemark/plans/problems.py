@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import entity_key
 from tidemark.operators.asof import known_at
 from tidemark.operators.hierarchy import descendants, hierarchies
-from tidemark.operators.nested import element_objects, json_nodes
+from tidemark.operators.nested import json_elements, json_values
 from tidemark.session import table
 
 
-def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+def _records(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "run_history").select(
         "execution_arn",
         "event_id",
@@ -22,18 +22,20 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     )
     runs = table(spark, sf, "run_executions").select("execution_arn", F.lit(0).cast("bigint").alias("event_id"), F.lit(None).cast("string").alias("started"), F.lit(None).cast("string").alias("entered"), "output")
     # events are delivered twice; equal texts of one event are one record
-    records = events.filter("started is not null or entered is not null").unionByName(runs.filter("output is not null")).distinct()
-    return json_nodes(records, ["execution_arn", "event_id"], ["started", "entered", "output"])
+    return events.filter("started is not null or entered is not null").unionByName(runs.filter("output is not null")).distinct()
+
+
+_KEYS, _TEXTS = ["execution_arn", "event_id"], ["started", "entered", "output"]
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = element_objects(_nodes(spark, sf)).select("execution_arn", "event_id", F.col("path").alias("element_path"), F.col("parent").alias("parent_path"))
+    found = json_elements(_records(spark, sf), _KEYS, _TEXTS).select("execution_arn", "event_id", F.col("path").alias("element_path"), F.col("parent").alias("parent_path"))
     return found.distinct()
 
 
 def p3_members(spark: SparkSession, sf: str) -> DataFrame:
     """The table of scalar members and elements, each with its enclosing element."""
-    values = _nodes(spark, sf).filter("shape = 'value'")
+    values = json_values(_records(spark, sf), _KEYS, _TEXTS)
     return values.select("execution_arn", "event_id", "text_column", F.col("path").alias("value_path"), F.col("parent").alias("parent_path"), "member", "position", "value").distinct()
 
 
