@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.scratch import Scratch
 
 BLOCK = 4096  # ids in a block
+BUCKET = 50_000  # nodes solved by one call, about
 SHARE = 16  # one node in so many is a splitter
 
 _SCHEMA = "g string, id bigint, portal boolean, kind string, top bigint, depth bigint, head bigint, last bigint, low bigint, seg array<bigint>, below bigint"
@@ -74,27 +75,48 @@ def _solve(nxt: np.ndarray, splitter: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ends, depth, reached
 
 
+def _lowest(ids: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """The smallest id on each node's walk along ``nxt``, which ends everywhere, by pointer jumping."""
+    low, cur = ids.copy(), np.where(nxt < 0, np.arange(len(nxt)), nxt)
+    while True:
+        better = np.minimum(low, low[cur])
+        further = cur[cur]
+        if (further == cur).all():
+            return better
+        low, cur = better, further
+
+
 def _block(paths: bool):
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[~rows["mark"]]
-        ids = own["id"].to_numpy(np.int64)
-        n, order = len(ids), np.argsort(ids)
-        own, ids = own.iloc[order], ids[order]
-        marked = rows.loc[rows["mark"], "id"].unique()
+    """All blocks of a bucket at once: the nodes' places in one array, in the order of group, block and id."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        block = rows["id"].to_numpy(np.int64) // BLOCK
+        group, names = pd.factorize(rows["g"])
+        # a code for each group's block, so that code and place in the block make one key
+        place_of, numbers = pd.factorize(block)
+        code = group * len(numbers) + place_of
+        key = code * BLOCK + (rows["id"].to_numpy(np.int64) - block * BLOCK)
+        is_mark = rows["mark"].to_numpy(bool)
+        order = np.flatnonzero(~is_mark)[np.argsort(key[~is_mark], kind="stable")]
+        own, keys = rows.iloc[order], key[order]
+        ids, g = own["id"].to_numpy(np.int64), group[order]
+        n = len(ids)
+        marked = np.unique(key[is_mark])
         parent, is_cut = own["p"].to_numpy(np.int64), own["is_cut"].to_numpy(bool)
         start = parent == 0
-        inside = ~start & ~is_cut & (parent // BLOCK == (ids[0] // BLOCK if n else 0))
-        place = np.searchsorted(ids, parent).clip(0, max(n - 1, 0))
-        found = inside & (ids[place] == parent) if n else inside
+        inside = ~start & ~is_cut & (parent // BLOCK == ids // BLOCK)
+        wanted = keys - ids + parent
+        place = np.searchsorted(keys, wanted).clip(0, max(n - 1, 0))
+        found = inside & (keys[place] == wanted) if n else inside
         out = ~start & ~is_cut & ~inside
         nxt = np.where(found, place, -1)
         splitter = (ids * np.int64(-7046029254386353131) >> np.int64(40)) % SHARE == 0
         ends, depth, arrived = _solve(nxt, splitter) if n else (ids, ids, inside)
         loop_low = np.full(n, np.iinfo(np.int64).max)
         if not arrived.all():
-            # walking n steps from what never arrives ends on the loops
+            # walking as many steps as a block can have nodes, from what never arrives, ends on the loops
             cur, low = np.where(arrived, np.arange(n), nxt), ids.copy()
-            for _ in range(n.bit_length()):
+            for _ in range(min(n, BLOCK).bit_length()):
                 low, cur = np.minimum(low, low[cur]), cur[cur]
             on = np.unique(cur[~arrived])
             loop_low[on] = low[on]
@@ -106,17 +128,14 @@ def _block(paths: bool):
         kind = np.where(looped, np.where(depth == 0, "cycle", "below_cycle"), np.where(start[ends], "tree", "detached")).astype(object)
         leaves = out[ends]
         kind[leaves] = None
-        portal = np.isin(ids, marked)
-        by_depth = np.argsort(depth, kind="stable")
-        low, seg = ids.copy(), [None] * n
+        portal = np.isin(keys, marked)
+        low, seg = (_lowest(ids, nxt) if leaves.any() else ids), [None] * n
         below = np.zeros(n, np.int64)
-        for i in by_depth:
-            j = nxt[i]
-            if j >= 0:
-                low[i] = min(low[i], low[j])
-            if paths:
-                seg[i] = seg[j] + [ids[i]] if j >= 0 else [ids[i]]
         if paths:
+            by_depth = np.argsort(depth, kind="stable")
+            for i in by_depth:
+                j = nxt[i]
+                seg[i] = seg[j] + [ids[i]] if j >= 0 else [ids[i]]
             for i in by_depth[::-1]:
                 if nxt[i] >= 0:
                     below[nxt[i]] += 1 + below[i]
@@ -129,7 +148,7 @@ def _block(paths: bool):
                 seg[i] = walk[::-1]
         res = pd.DataFrame(
             {
-                "g": key[0],
+                "g": np.asarray(names, object)[g],
                 "id": ids,
                 "portal": portal,
                 "kind": kind,
@@ -142,9 +161,11 @@ def _block(paths: bool):
                 "below": below,
             }
         )
-        ghosts = np.setdiff1d(marked, ids)
+        ghosts = np.flatnonzero(is_mark & ~np.isin(key, keys))
+        ghosts = ghosts[np.unique(key[ghosts], return_index=True)[1]]
         if len(ghosts):
-            none = pd.DataFrame({"g": key[0], "id": ghosts, "portal": True, "kind": "ghost", "top": ghosts, "depth": 0, "head": 0, "last": ghosts, "low": ghosts, "seg": None, "below": 0})
+            at = rows["id"].to_numpy(np.int64)[ghosts]
+            none = pd.DataFrame({"g": rows["g"].to_numpy()[ghosts], "id": at, "portal": True, "kind": "ghost", "top": at, "depth": 0, "head": 0, "last": at, "low": at, "seg": None, "below": 0})
             res = pd.concat([res, none], ignore_index=True) if n else none
         return res
 
@@ -174,12 +195,14 @@ def _enter(a: DataFrame, b: DataFrame, portal: bool) -> DataFrame:
 
 def _place(nodes: DataFrame, s: Scratch, paths: bool) -> DataFrame:
     """(g, id, kind, top, depth, path, n_descendants) of ``nodes``(g, id, p, cut); cut is set at the nodes where loops are cut."""
-    block = F.floor(F.col("id") / BLOCK)
+    block, solve = F.floor(F.col("id") / BLOCK), _block(paths)
     rows = nodes.withColumn("mark", F.lit(False))
     crossing = nodes.filter(f"p != 0 and cut is null and floor(p / {BLOCK}) != floor(id / {BLOCK})")
     marks = crossing.select("g", F.col("p").alias("id"), F.lit(None).cast("bigint").alias("p"), F.lit(None).cast("bigint").alias("cut"), F.lit(True).alias("mark")).distinct()
     full = rows.unionByName(marks).select("g", "id", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("cut", F.lit(0)).alias("cut"), F.col("cut").isNotNull().alias("is_cut"), "mark")
-    solved = full.withColumn("block", block).groupBy("g", "block").applyInPandas(_block(paths), _SCHEMA)
+    # many blocks to a bucket: a block has at most BLOCK nodes, so buckets are even whatever the groups
+    buckets = max(1, -(-nodes.count() // BUCKET))
+    solved = full.withColumn("bucket", F.pmod(F.xxhash64("g", block), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda rows: solve(rows.drop(columns="bucket")), _SCHEMA)
     blocks = s.write(solved, "blocks")
     ended = blocks.filter("kind is not null and kind != 'ghost'")
     extra = [F.col("seg").alias("path"), F.col("below").alias("n_descendants")] if paths else []
