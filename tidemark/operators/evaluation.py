@@ -7,16 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import TRADING_DAYS, average_rank, finite, ratio
+from tidemark.functions.numeric import TRADING_DAYS, average_rank, finite, mean_ranks, quantile_slots, ratio
 
 
 def information_coefficient(rows: DataFrame, by: list[str], signal: str, outcome: str, least: int = 20) -> DataFrame:
     """Per group: Spearman's correlation over finite pairs with ties at their mean rank.
 
-    Ranks within a group need its rows in order; a group is a cross-section or a bucket.  Fewer than ``least`` pairs give null with status
+    Ranks are counted over quantile slots of a group, so a group may be of any size.  Fewer than ``least`` pairs give null with status
     insufficient, no spread 0 with status no_variance."""
     x = rows.select(*by, finite(F.col(signal)).alias("s"), finite(F.col(outcome)).alias("o")).filter("s is not null and o is not null")
-    ranked = x.select(*by, "s", "o", average_rank(F.col("s"), by).alias("rs"), average_rank(F.col("o"), by).alias("ro"))
+    ranked = mean_ranks(mean_ranks(x, by, "s", "rs"), by, "o", "ro")
     flat = (F.max("s") == F.min("s")) | (F.max("o") == F.min("o"))
     out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ratio(F.covar_pop("rs", "ro"), F.stddev_pop("rs") * F.stddev_pop("ro")).alias("c"), flat.alias("flat"))
     status = F.when(F.col("n") < least, "insufficient").when(F.col("flat"), "no_variance").otherwise("ok")
@@ -59,12 +59,89 @@ def seam_spread(inputs: DataFrame, outputs: DataFrame, date: str, value: str, le
     return out.select("n_dates", "n_dropped", "n_input", "n_output", F.when(enough, F.col("s")).alias("spread"), F.when(enough, "ok").otherwise("insufficient_data").alias("status"))
 
 
+def unresolved_rates(inputs: DataFrame, outputs: DataFrame, value: str) -> DataFrame:
+    """One row: the share of unresolved rows on either side of a seam, null for an empty side, and the output's less the input's."""
+    side = lambda d, n: d.agg(ratio(F.count_if(finite(F.col(value)).isNull()).cast("double"), F.count(F.lit(1)).cast("double")).alias(n))
+    return side(inputs, "input_rate").crossJoin(side(outputs, "output_rate")).withColumn("gap", F.col("output_rate") - F.col("input_rate"))
+
+
+def seam_faults(inputs: DataFrame, outputs: DataFrame, date: str, key: str, value: str, tolerance: float = 1e-9) -> DataFrame:
+    """(fault, date, key) of what forbids a comparison: 'duplicate_input' and 'duplicate_output' (a name twice on a date), 'not_in_input',
+    'resolved_on_one_side' and 'outcomes_differ'; a table without rows is a sound seam.  Null outcomes are unresolved."""
+    a, b = (d.select(F.col(date).alias("date"), F.col(key).alias("key"), finite(F.col(value)).alias("v")) for d in (inputs, outputs))
+    twice = lambda d, n: d.groupBy("date", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(n).alias("fault"), "date", "key")
+    one = lambda d, n: d.groupBy("date", "key").agg(F.max("v").alias(n)).withColumn(f"has_{n}", F.lit(True))
+    j = one(b, "o").join(one(a, "i"), ["date", "key"], "left")
+    fault = F.when(F.col("has_i").isNull(), "not_in_input").when(F.col("i").isNull() != F.col("o").isNull(), "resolved_on_one_side").when(F.abs(F.col("i") - F.col("o")) > tolerance, "outcomes_differ")
+    return twice(a, "duplicate_input").unionByName(twice(b, "duplicate_output")).unionByName(j.select(fault.alias("fault"), "date", "key").filter("fault is not null"))
+
+
+def assert_seam(inputs: DataFrame, outputs: DataFrame, date: str, key: str, value: str) -> None:
+    found = seam_faults(inputs, outputs, date, key, value).limit(5).collect()
+    if found:
+        raise ValueError("the sides of the seam can't be compared: " + "; ".join(f"{r.fault} {r.date}/{r.key}" for r in found))
+
+
+def seam_dates(inputs: DataFrame, outputs: DataFrame, date: str, value: str, least_names: int = 1) -> DataFrame:
+    """The published rows of a seam: (date, input_mean, output_mean) of the dates that both sides have."""
+    a, b = clustered_mean(inputs, date, value, least_names), clustered_mean(outputs, date, value, least_names)
+    return a.select("date", F.col("mean").alias("input_mean")).join(b.select("date", F.col("mean").alias("output_mean")), "date")
+
+
+def recompute_spread(published: DataFrame) -> DataFrame:
+    """One row: the spread from the published rows (input_mean, output_mean) alone, null without any.  A row that lacks a mean fails."""
+    bad = F.col("input_mean").isNull() | F.col("output_mean").isNull()
+    gap = F.when(bad, F.raise_error(F.lit("a published row lacks a mean")).cast("double")).otherwise(F.col("output_mean") - F.col("input_mean"))
+    return published.agg(F.avg(gap).alias("spread"))
+
+
+def return_units(rows: DataFrame, by: list[str], column: str, percent: bool = False) -> DataFrame:
+    """Per group whether ``column`` can be returns in the declared units: (by, n, low, high, median_abs, fault), judged in fractions.
+
+    fault: 'lost_all' (a return of -100 % or worse, whose logarithm isn't defined), 'too_large' (beyond 500 %), 'median_too_large' (a median
+    of more than 50 %), 'median_too_small' (under 5 basis points over ten values or more), else null.  What isn't finite doesn't count."""
+    v = finite(F.col(column)) / (100.0 if percent else 1.0)
+    out = rows.select(*by, v.alias("v")).filter("v is not null").groupBy(*by).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile(F.abs("v"), F.lit(0.5)).alias("median_abs"))
+    m = F.col("median_abs")
+    fault = F.when(F.col("low") <= -1, "lost_all").when(F.greatest(F.abs("low"), F.abs("high")) > 5, "too_large").when(m > 0.5, "median_too_large").when((F.col("n") >= 10) & (m > 0) & (m < 5e-4), "median_too_small")
+    return out.withColumn("fault", fault)
+
+
+def canonical_log_alphas(rows: DataFrame, by: list[str], published: str, r: str, benchmark: str) -> DataFrame:
+    """``rows`` with log_alpha: the published one in groups that have any (then null where it is missing), else from the returns in fractions."""
+    w = Window.partitionBy(*by)
+    has = F.max(F.col(published).isNotNull()).over(w)
+    return rows.withColumn("__has", has).withColumn("log_alpha", F.when(F.col("__has"), F.col(published)).otherwise(log_alpha(F.col(r), F.col(benchmark)))).drop("__has")
+
+
+def input_window(rows: DataFrame, date: str) -> DataFrame:
+    """One row: first and last usable date and the number of rows."""
+    return rows.agg(F.min(date).alias("min_date"), F.max(date).alias("max_date"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def input_freshness(window: DataFrame, as_of: Column, horizon_days: int, grace_days: int = 14) -> DataFrame:
+    """``window`` with status 'ok' or 'unmeasurable': the newest input may be as old as the outcome takes (7 calendar days for 5 trading days)
+    and the grace allow; also unmeasurable without rows or dates."""
+    allowed = math.ceil(horizon_days * 7 / 5) + grace_days
+    ok = (F.col("n_rows") > 0) & F.col("max_date").isNotNull() & (F.col("max_date") >= F.date_sub(as_of, allowed))
+    return window.withColumn("age_days", F.datediff(as_of, F.col("max_date"))).withColumn("status", F.when(F.coalesce(ok, F.lit(False)), "ok").otherwise("unmeasurable"))
+
+
+def regime_report(strata: DataFrame, spreads: dict[int, DataFrame], window: DataFrame, run: dict[str, str]) -> DataFrame:
+    """One row, payload: the evaluation as one JSON document of the run's fields, the input window, a spread per horizon and the strata in order."""
+    fields = [F.col(c) for c in strata.columns]
+    body = strata.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("strata")).crossJoin(window.select(F.struct(*window.columns).alias("input_window")))
+    for h, s in spreads.items():
+        body = body.crossJoin(s.select(F.struct(*s.columns).alias(f"spread_{h}d")))
+    return body.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in run.items()], F.array(*map(F.lit, spreads)).alias("horizons"), "input_window", *[f"spread_{h}d" for h in spreads], "strata")).alias("payload"))
+
+
 def false_discoveries(tests: DataFrame, key: str, p: str, alpha: float = 0.05) -> DataFrame:
     """Benjamini-Hochberg over all tests: (key, p, rank, significant).
 
-    The ranks need one order of all p-values.  They are counted without a single-task sort: p-values fall into 4,096 equal slots, whose
-    counts give what comes before a slot, and the rank inside a slot is a window of its own."""
-    x = tests.select(F.col(key).alias("key"), finite(F.col(p)).alias("p")).filter("p is not null").withColumn("slot", F.floor(F.col("p") * 4096))
+    The ranks need one order of all p-values.  They are counted without a single-task sort: p-values fall into slots between their approximate
+    quantiles, whose counts give what comes before a slot, and the rank inside a slot is a window of its own."""
+    x = quantile_slots(tests.select(F.col(key).alias("key"), finite(F.col(p)).alias("p")).filter("p is not null"), [], "p", 4096).withColumnRenamed("__slot", "slot")
     counts = x.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("slot", F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     inside = F.row_number().over(Window.partitionBy("slot").orderBy("p", "key"))

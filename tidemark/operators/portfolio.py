@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,6 +155,11 @@ def portfolio_risk(weights: DataFrame, betas: DataFrame, fcov: DataFrame, idio:
 def cross_sectional_factors(returns: DataFrame, loadings: DataFrame, factors: list[str], extra: int = 5) -> DataFrame:
     """Per date: factor returns f of r_t = a + B f, B the loadings of the last day strictly before t that has any: (date, n, intercept, betas,
     resid_var).  Dates of fewer than factors + ``extra`` names are left out.  The day of the loadings is looked up on the distinct dates."""
+    return least_squares(_loaded(returns, loadings), "date", "ret", factors, least=len(factors) + extra)
+
+
+def _loaded(returns: DataFrame, loadings: DataFrame) -> DataFrame:
+    """``returns``(date, ticker, ret) with the loadings of the last day strictly before that has any."""
     dates = returns.select("date").distinct()
     known = loadings.select(F.col("date").alias("loaded")).distinct()
     both = dates.select(F.col("date").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("date").alias("loaded")).unionByName(known.select(F.col("loaded").alias("t"), F.lit(2).alias("side"), "loaded"))
@@ -160,4 +167,88 @@ def cross_sectional_factors(returns: DataFrame, loadings: DataFrame, factors: li
     asof = both.withColumn("last", F.last("loaded", ignorenulls=True).over(w)).filter("side = 1 and last is not null").select(F.col("t").alias("date"), F.col("last").alias("loaded"))
     r = returns.join(F.broadcast(asof), "date").select("date", "loaded", "ticker", "ret")
     l = loadings.withColumnRenamed("date", "loaded")  # noqa: E741
-    return least_squares(r.join(l, ["loaded", "ticker"]), "date", "ret", factors, least=len(factors) + extra)
+    return r.join(l, ["loaded", "ticker"])
+
+
+def factor_residuals(returns: DataFrame, loadings: DataFrame, factors: list[str], fitted: DataFrame) -> DataFrame:
+    """(date, ticker, residual) of ``fitted``, the factor returns by ``cross_sectional_factors``; nothing where a date wasn't fitted."""
+    x = _loaded(returns, loadings).join(fitted.select("date", "intercept", "betas"), "date")
+    explained = F.col("intercept")
+    for i, f in enumerate(factors):
+        explained = explained + F.col("betas")[i] * finite(F.col(f))
+    return x.select("date", "ticker", (finite(F.col("ret")) - explained).alias("residual"))
+
+
+def idiosyncratic_variance(residuals: DataFrame, least: int = 30) -> DataFrame:
+    """(ticker, n, v): population variance of each ticker's residuals, null below ``least`` of them."""
+    out = residuals.groupBy("ticker").agg(F.count("residual").alias("n"), F.var_pop("residual").alias("v"))
+    return out.select("ticker", "n", F.when(F.col("n") >= least, F.col("v")).alias("v"))
+
+
+def factor_risk_model(returns: DataFrame, loadings: DataFrame, factors: list[str], shrinkage: str = "ledoit_wolf", least_cov: int = 30, least_idio: int = 30) -> dict[str, DataFrame]:
+    """The risk model end to end: 'factor_returns' per date, 'residuals', 'F' (i, j, v) over the intercept ('market') and the factors, null below
+    ``least_cov`` dates, 'D' per ticker, and 'metadata' as one row."""
+    fitted = cross_sectional_factors(returns, loadings, factors)
+    names = ["market", *factors]
+    series = fitted.select("date", F.col("intercept").alias("market"), *[F.col("betas")[i].alias(f) for i, f in enumerate(factors)])
+    res = factor_residuals(returns, loadings, factors, fitted)
+    n = returns.agg(F.count_distinct("ticker").alias("n_tickers"), F.count_distinct("date").alias("n_dates")).crossJoin(series.agg(F.count(F.lit(1)).alias("n_clean_dates")))
+    meta = n.select("n_dates", "n_clean_dates", F.lit(len(names)).alias("k_eff"), "n_tickers", F.lit(shrinkage).alias("shrinkage"))
+    return {"factor_returns": series, "residuals": res, "F": covariance(series, names, shrinkage, least_cov), "D": idiosyncratic_variance(res, least_idio), "metadata": meta}
+
+
+def holdings_model(holdings: DataFrame, factor_series: DataFrame, factors: list[str], shrinkage: str = "ledoit_wolf") -> dict[str, DataFrame]:
+    """Time-series model of ``holdings``(date, ticker, ret) on ``factor_series``(date, factors...): 'betas' (ticker, factor, b), 'F' (f1, f2, v)
+    and 'D' (ticker, v), as ``portfolio_risk`` takes them.  Tickers of fewer than factors + 2 common dates are left out."""
+    fit = least_squares(holdings.join(factor_series, "date"), "ticker", "ret", factors)
+    betas = fit.select("ticker", F.posexplode("betas").alias("i", "b")).select("ticker", F.array(*map(F.lit, factors))[F.col("i")].alias("factor"), "b")
+    cov = covariance(factor_series, factors, shrinkage).select(F.col("i").alias("f1"), F.col("j").alias("f2"), "v")
+    return {"betas": betas, "F": cov, "D": fit.select("ticker", F.col("resid_var").alias("v"))}
+
+
+def benchmark_exposure(series: DataFrame, ret: str, factors: list[str]) -> DataFrame:
+    """(factor, b): the betas of one series regressed on its factors."""
+    fit = least_squares(series.withColumn("__all", F.lit(0)), "__all", ret, factors)
+    return fit.select(F.posexplode("betas").alias("i", "b")).select(F.array(*map(F.lit, factors))[F.col("i")].alias("factor"), "b")
+
+
+PILLARS = ("quality", "value", "momentum", "growth", "stewardship", "defensiveness")
+
+
+def pillar_weights(raw: dict[str, float] | None) -> dict[str, float]:
+    """Weights of the pillars, negatives as 0, scaled to sum to 1 (6 digits); equal where none is left."""
+    kept = {k: max(0.0, float((raw or {}).get(k, 0.0))) for k in PILLARS}
+    total = sum(kept.values())
+    return {k: round(v / total, 6) if total else round(1 / len(PILLARS), 6) for k, v in kept.items()}
+
+
+@dataclass(frozen=True)
+class TransactionCosts:
+    """Trading costs in basis points as column expressions; see ``cost_bps``."""
+
+    half_spread: float = 2.5
+    impact: float = 10.0
+    commission: float = 0.5
+    floor: float = 0.0
+
+    @classmethod
+    def from_config(cls, config: dict | None) -> TransactionCosts:
+        """Of a mapping with any of the fields; unknown ones are ignored."""
+        known = {f.name for f in fields(cls)}
+        return cls(**{k: float(v) for k, v in (config or {}).items() if k in known})
+
+    def per_side_bps(self, notional: Column, adv: Column, sigma: Column | None = None, ref_sigma: Column | None = None) -> Column:
+        return cost_bps(notional, adv, sigma, ref_sigma, self.half_spread, self.impact, self.commission, self.floor)
+
+    def round_trip_bps(self, notional: Column, adv: Column, sigma: Column | None = None, ref_sigma: Column | None = None) -> Column:
+        return 2 * self.per_side_bps(notional, adv, sigma, ref_sigma)
+
+    def cost_for_turnover(self, turnover: Column, adv: Column, sigma: Column | None = None, ref_sigma: Column | None = None) -> Column:
+        """In money: one side's cost of trading ``turnover``."""
+        return F.abs(turnover) * self.per_side_bps(turnover, adv, sigma, ref_sigma) / 1e4
+
+
+def brinson_totals(effects: DataFrame, period: str) -> DataFrame:
+    """Per period: active_return, total_effect and whether they are the same (they are where both sides' weights sum to 1)."""
+    out = effects.groupBy(period).agg((F.sum("contribution") - F.sum("benchmark_contribution")).alias("active_return"), F.sum(F.col("allocation") + F.col("selection") + F.col("interaction")).alias("total_effect"))
+    return out.withColumn("identical", F.abs(F.col("active_return") - F.col("total_effect")) < 1e-9)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import portfolio_queries, problems, runs_queries, series_queries, stream_queries
+from tidemark.plans import model_queries, portfolio_queries, problems, runs_queries, series_queries, stream_queries
 
 
 def modules() -> list:
-    return [problems, series_queries, portfolio_queries, runs_queries, stream_queries]
+    return [problems, series_queries, portfolio_queries, model_queries, runs_queries, stream_queries]
