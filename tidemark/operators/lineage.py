@@ -28,10 +28,15 @@ def cycle_label(tick: Column, cadence: Column, every_minutes: Column) -> Column:
     return F.when(cadence == "weekly", week).when(cadence == "continuous", stamp).when(cadence == "event_driven", F.concat(F.lit("event_driven_"), F.to_date(tick))).otherwise(F.to_date(tick).cast("string"))
 
 
+MAX_PREFIXES = 10_000
+
+
 def newest_under(objects: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``prefixes``(artifact_id, prefix, suffix) with the newest object below each: (artifact_id, newest_key, newest_at); ties by larger key.
 
-    Prefixes are a bounded registry and are broadcast; objects are aggregated on the map side."""
+    Prefixes are a registry of at most ``MAX_PREFIXES`` (checked) and are broadcast; objects are aggregated on the map side."""
+    if prefixes.limit(MAX_PREFIXES + 1).count() > MAX_PREFIXES:
+        raise ValueError(f"more than {MAX_PREFIXES} prefixes in one listing")
     hit = objects.join(F.broadcast(prefixes), F.startswith("key", "prefix") & F.endswith("key", "suffix"))
     best = hit.groupBy("artifact_id").agg(F.max(F.struct("modified", "key")).alias("m"))
     return best.select("artifact_id", F.col("m.key").alias("newest_key"), F.col("m.modified").alias("newest_at"))
@@ -85,12 +90,13 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return left
 
 
-def reachable(edges: DataFrame, start: str, end: str) -> DataFrame:
-    """(start, end, distance) for all pairs joined by a path of edges(start, end), the shortest counted; the closure's size is that of its
-    result.  Semi-naive: a round extends only the pairs the last one found, so cycles end too."""
+def reachable(edges: DataFrame, start: str, end: str, starts: DataFrame | None = None) -> DataFrame:
+    """(start, end, distance) for all pairs joined by a path of edges(start, end), the shortest counted, or for those of ``starts``(start) only;
+    the closure's size is that of its result.  Semi-naive: a round extends only the pairs the last one found, so cycles end too."""
     s = Scratch(edges.sparkSession, "closure")
     e = s.write(edges.select(F.col(start).alias("a"), F.col(end).alias("b")).filter("a is not null and b is not null").distinct(), "edges")
-    parts = [s.write(e.withColumn("distance", F.lit(1)), "pairs")]
+    first = e if starts is None else e.join(starts.select(F.col(start).alias("a")).distinct(), "a", "left_semi")
+    parts = [s.write(first.withColumn("distance", F.lit(1)), "pairs")]
     step = 1
     while True:
         step += 1
@@ -103,9 +109,9 @@ def reachable(edges: DataFrame, start: str, end: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select(F.col("a").alias(start), F.col("b").alias(end), "distance")
 
 
-def reachable_leaves(edges: DataFrame) -> DataFrame:
-    """(id, leaf): what nothing depends on, downstream of each node of edges(id, depends_on)."""
-    down = reachable(edges.select(F.col("depends_on").alias("id"), F.col("id").alias("leaf")), "id", "leaf")
+def reachable_leaves(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(id, leaf): what nothing depends on, downstream of each node of edges(id, depends_on), or of those of ``of``(id) only."""
+    down = reachable(edges.select(F.col("depends_on").alias("id"), F.col("id").alias("leaf")), "id", "leaf", of)
     inner = edges.select(F.col("depends_on").alias("leaf")).distinct()
     return down.join(inner, "leaf", "left_anti").select("id", "leaf")
 
