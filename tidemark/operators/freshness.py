@@ -98,11 +98,11 @@ def ladder(specs: DataFrame, newest: DataFrame, recovery: DataFrame, now: dateti
 def observed_count(kind: Column, body: Column, field: Column, n_rows: Column) -> Column:
     """How many rows an artifact holds: 'json_count_field' the number in a member, or the length of the array there; 'csv_row_count' the lines
     below the header, line breaks in quotes aside; 'parquet_row_count' the rows its footer tells.  Null where it can't be told."""
-    member = F.get_json_object(body, F.concat(F.lit("$."), field))
+    member = F.call_function("get_json_object", body, F.concat(F.lit("$."), field))
     size = F.coalesce(F.json_array_length(member), F.floor(member.try_cast("double")).cast("bigint").cast("int"))
     bare = F.regexp_replace(F.regexp_replace(body, '"(?:[^"]|"")*"', ""), r"(?:\r\n|\n|\r)$", "")
     lines = F.when(F.length(body) == 0, 0).otherwise(F.size(F.split(bare, r"\r\n|\n|\r")) - 1)
-    return F.when(kind == "json_count_field", size).when(kind == "csv_row_count", F.greatest(lines, F.lit(0))).when(kind == "parquet_row_count", n_rows.cast("int"))
+    return F.when(kind == "json_count_field", size).when((kind == "csv_row_count") & body.isNotNull(), F.greatest(lines, F.lit(0))).when(kind == "parquet_row_count", n_rows.cast("int"))
 
 
 def completeness(checks: DataFrame, bodies: DataFrame) -> DataFrame:

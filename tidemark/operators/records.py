@@ -186,3 +186,114 @@ def truncated(cap: int) -> Callable[[Column], Column]:
         return texts.map(one)
 
     return cut
+
+
+SOURCES = ("live", "replay", "synthetic")
+
+
+def built_records(rows: DataFrame, producer: str, columns: dict[str, Column], source: str = "live", version: int = 3) -> DataFrame:
+    """Canonical records: schema_version, producer, the given ``columns``, and provenance(source, content_hash), the hash that of input_messages
+    (JSON text) in canonical form.  A producer and captured_at are required; rows without captured_at fail the query."""
+    if not producer or source not in SOURCES or "captured_at" not in columns:
+        raise ValueError("a record needs a producer, a known source and captured_at")
+    at = columns["captured_at"]
+    checked = columns | {"captured_at": F.when(at.isNull(), F.raise_error(F.lit("captured_at is missing")).cast("string")).otherwise(at.cast("string"))}
+    given = columns.get("input_messages", F.lit(None).cast("string"))
+    provenance = F.struct(F.lit(source).alias("source"), F.when(given.isNotNull(), canonical_hash(given)).alias("content_hash"))
+    return rows.select(F.lit(version).alias("schema_version"), F.lit(producer).alias("producer"), *[c.alias(n) for n, c in checked.items()], provenance.alias("provenance"))
+
+
+def record_source(text: Column) -> Column:
+    """Where a record (JSON text) comes from: provenance.source, else source, else meta.source, where it is a known one; else live."""
+    known = lambda p: F.when(F.get_json_object(text, p).isin(*SOURCES), F.get_json_object(text, p))
+    return F.coalesce(known("$.provenance.source"), known("$.source"), known("$.meta.source"), F.lit("live"))
+
+
+def record_hash(text: Column) -> Column:
+    """A record's stored content hash, else that of its input messages."""
+    stored = F.nullif(F.get_json_object(text, "$.provenance.content_hash"), F.lit(""))
+    return F.coalesce(stored, canonical_hash(F.coalesce(F.get_json_object(text, "$.input_messages"), F.lit("null"))))
+
+
+def is_model_decision(text: Column) -> Column:
+    """Whether a decision names the model that made it."""
+    return F.get_json_object(text, "$.model_metadata").isNotNull()
+
+
+def validated(rows: DataFrame, text: str, schema: dict) -> DataFrame:
+    """``rows``; one that violates ``schema`` fails the query."""
+    found = conformance_errors(schema)(F.col(text))
+    return rows.withColumn(text, F.when(F.size(found) > 0, F.raise_error(F.array_join(found, "; ")).cast("string")).otherwise(F.col(text)))
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """(value): each row as JSON, for a text sink."""
+    return rows.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def strongest(loadings: dict[str, Column]) -> Column:
+    """The name of the largest loading, the first of equals; null where one is null."""
+    ranked = F.array(*[F.struct(v.alias("v"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, (n, v) in enumerate(loadings.items())])
+    whole = F.lit(True)
+    for v in loadings.values():
+        whole = whole & v.isNotNull()
+    return F.when(whole, F.array_max(ranked)["n"])
+
+
+def sums_to_one(values: list[Column], tolerance: float) -> Column:
+    total = F.lit(0.0)
+    for v in values:
+        total = total + v
+    return F.coalesce(F.abs(total - 1) <= tolerance, F.lit(False))
+
+
+def within(values: Column, low: float, high: float) -> Column:
+    """Whether every value of a map lies in [low, high]; an empty one does."""
+    return F.coalesce(F.forall(F.map_values(values), lambda v: (v >= low) & (v <= high)), F.lit(False))
+
+
+def agent_schema(agent: Column, schemas: dict[str, str]) -> Column:
+    """The schema of an agent by the part of its id before the first colon; null if it has none."""
+    pairs = [F.lit(x) for kv in schemas.items() for x in kv]
+    return F.create_map(*pairs)[F.split_part(agent, F.lit(":"), F.lit(1))]
+
+
+def overall_score(scores: list[Column]) -> Column:
+    """The mean rounded half to even; null where one is null."""
+    total = F.lit(0.0)
+    for s in scores:
+        total = total + s
+    return F.bround(total / len(scores), 0).cast("int")
+
+
+def trimmed_strings(values: Column) -> Column:
+    """The strings without outer blanks, empty ones left out."""
+    return F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+
+
+def choice_faults(primary: Column, secondary: Column) -> Column:
+    """What is wrong with a primary choice and a list of secondary ones: 'repeated', 'primary_in_secondary'; sorted."""
+    twice = F.size(F.array_distinct(secondary)) != F.size(secondary)
+    return F.array_compact(F.array(F.when(F.array_contains(secondary, primary), "primary_in_secondary"), F.when(twice, "repeated")))
+
+
+CHECK_STATUSES = ("ok", "warn", "fail", "unknown")
+
+
+def check_results(rows: DataFrame, check: Column, label: Column, status: Column, summary: Column, cadence_minutes: int) -> DataFrame:
+    """Envelopes (check_id, label, status, summary, cadence_minutes); a status that isn't one of ``CHECK_STATUSES`` fails the query."""
+    if cadence_minutes <= 0:
+        raise ValueError("a cadence has at least one minute")
+    known = F.when(status.isin(*CHECK_STATUSES), status).otherwise(F.raise_error(F.concat(F.lit("no such status: "), F.coalesce(status, F.lit("null")))).cast("string"))
+    return rows.select(check.alias("check_id"), label.alias("label"), known.alias("status"), summary.alias("summary"), F.lit(cadence_minutes).alias("cadence_minutes"))
+
+
+def collector_errors(rows: DataFrame, by: list[str], status: str) -> DataFrame:
+    """(by, n, n_errors): how many collectors ended in 'error'."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(status) == "error").alias("n_errors"))
+
+
+def self_test(cases: DataFrame, by: list[str], result: str) -> DataFrame:
+    """The verdict of a battery of known-answer cases: FAIL with any failed, UNKNOWN with any errored or without cases, else PASS."""
+    out = cases.groupBy(*by).agg(F.count(result).alias("n"), F.coalesce(F.bool_or(F.col(result) == "FAIL"), F.lit(False)).alias("f"), F.coalesce(F.bool_or(F.col(result) == "ERROR"), F.lit(False)).alias("e"))
+    return out.select(*by, "n", F.when(F.col("f"), "FAIL").when(F.col("e") | (F.col("n") == 0), "UNKNOWN").otherwise("PASS").alias("verdict"))

@@ -1,0 +1,252 @@
+"""Queries of work verdicts, cycles, coverage alerts, record building and record invariants, with the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import records, runs
+from tidemark.operators.nested import json_values
+from tidemark.plans.runs_queries import _ONCE, _events
+from tidemark.session import table
+
+
+def _entered(spark, sf):
+    return runs.entered_states(_events(spark, sf), "execution_arn", "event_id", F.col("state_entered_event_details.name"))
+
+
+def _spine(spark, sf):
+    """Declared stages: per machine those that more than three of its events entered, in the order of their names."""
+    h = table(spark, sf, "run_history").select("state_machine_arn", F.col("state_entered_event_details.name").alias("stage")).filter("stage is not null")
+    n = h.groupBy("state_machine_arn", "stage").agg(F.count(F.lit(1)).alias("n"))
+    common = n.filter("n > 3").select("state_machine_arn", "stage", F.length("stage").alias("place"))
+    all_machines = table(spark, sf, "run_executions").select("state_machine_arn").distinct().select("state_machine_arn", F.lit("Start").alias("stage"), F.lit(0).alias("place"))
+    return common.unionByName(all_machines)
+
+
+def _skips(spark, sf):
+    return _spine(spark, sf).filter("length(stage) % 4 = 1").select("state_machine_arn", F.col("stage").alias("state"))
+
+
+def _work(spark, sf):
+    return runs.work_verdicts(table(spark, sf, "run_executions"), _entered(spark, sf), _spine(spark, sf), _skips(spark, sf), "execution_arn", "state_machine_arn", "status")
+
+
+def work_verdicts(spark, sf):
+    out = _work(spark, sf)
+    return out.select("execution_arn", "verdict", "reason", "terminal", F.size("entered_stages").alias("n_entered"), F.array_join(F.array_sort("missing_stages"), ",").alias("missing"))
+
+
+def cycle_shapes(spark, sf):
+    e = table(spark, sf, "run_executions").select("execution_arn", F.trunc("start_date", "month").alias("cycle"), F.nullif(F.get_json_object("input", "$.pipeline_role"), F.lit("audit")).alias("role"))
+    o = _work(spark, sf).join(e, "execution_arn")
+    months = e.select(F.col("cycle")).distinct().crossJoin(table(spark, sf, "run_executions").select("state_machine_arn").distinct().filter("length(state_machine_arn) % 2 = 0"))
+    out = runs.cycle_shapes(months, o, _spine(spark, sf), ["state_machine_arn", "cycle"], "state_machine_arn")
+    return out.withColumn("missing_stages", F.size("missing_stages"))
+
+
+def run_depth(spark, sf):
+    spine = _spine(spark, sf).groupBy("stage").agg(F.max("place").alias("place"))
+    return runs.depth(_entered(spark, sf), "execution_arn", "state", spine).drop("deepest")
+
+
+def role_buckets(spark, sf):
+    r = F.get_json_object("input", "$.pipeline_role")
+    return table(spark, sf, "run_executions").select("execution_arn", r.alias("role"), runs.role_bucket(r).alias("bucket"), F.coalesce(r.isin(*runs.cadence_roles("weekly")), F.lit(False)).alias("weekly"))
+
+
+def _attempts(spark, sf):
+    failed = _events(spark, sf).filter("event_type in ('TaskFailed', 'ExecutionFailed')").groupBy("execution_arn").agg(F.min_by("event_type", "event_id").alias("error"))
+    state = runs.failing_state(_events(spark, sf), "execution_arn", "event_id", F.col("state_entered_event_details.name"), F.col("event_type").isin("TaskFailed", "ExecutionFailed"))
+    e = table(spark, sf, "run_executions").select("execution_arn", "state_machine_arn", F.trunc("start_date", "month").alias("cycle"), "start_date", "stop_date", "status")
+    j = e.join(failed, "execution_arn", "left").join(state, "execution_arn", "left")
+    return j.withColumn("cause", F.when(F.col("status") != "SUCCEEDED", runs.fingerprint(F.col("failing_state"), F.col("error"), F.col("execution_arn"))))
+
+
+def cause_frequency(spark, sf):
+    return runs.cause_frequency(_attempts(spark, sf), ["state_machine_arn"], "cause")
+
+
+def looping_machines(spark, sf):
+    a = runs.last_cycles(_attempts(spark, sf), "state_machine_arn", "cycle", 6)
+    w = runs.reliability(a, "state_machine_arn", "cycle", "start_date", F.col("status") == "SUCCEEDED", F.substring_index("cause", ":", 1))
+    settled = w.withColumn("settled", F.month("cycle") % 5 != 0).withColumn("skip_only", F.col("attempts") > 30)
+    return runs.looping(settled, "state_machine_arn", "cycle")
+
+
+def cycle_wall_clock(spark, sf):
+    e = table(spark, sf, "run_executions").withColumn("cycle", F.trunc("start_date", "month"))
+    return runs.wall_clock(e, "state_machine_arn", "cycle", "start_date", "stop_date")
+
+
+def pipeline_state(spark, sf):
+    e = table(spark, sf, "run_executions").filter("start_date is not null")
+    return runs.pipeline_state(e, _entered(spark, sf), "execution_arn", "state_machine_arn", "start_date", "status", F.get_json_object("input", "$.pipeline_role"), ("weekly", "audit", "weekday"))
+
+
+def coverage_alerts(spark, sf):
+    s = _sweep(spark, sf)
+    out = runs.alert_conditions(s, "state_machine_arn", "stage", "coverage", F.length("state_machine_arn") % 5 != 0, 1)
+    return out.withColumn("conditions", F.array_join("conditions", "; "))
+
+
+def _sweep(spark, sf):
+    state = F.element_at(F.array(*map(F.lit, ("absent", "finding", "unmeasured", "covered", "not_entered"))), (F.length("stage") % 5 + 1).cast("int"))
+    return _spine(spark, sf).select("state_machine_arn", "stage", state.alias("coverage"))
+
+
+def coverage_report(spark, sf):
+    return runs.rendered(_sweep(spark, sf), "state_machine_arn", "stage", "coverage", True)
+
+
+def loaded_verdicts(spark, sf):
+    h = table(spark, sf, "run_executions")
+    plain = F.to_json(F.struct(F.col("execution_name").alias("stage"), F.col("status").alias("status")))
+    quoted = F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    n = F.length("execution_arn") % 3
+    body = F.when(n == 0, plain).when(n == 1, quoted).otherwise(F.substring(plain, 1, 9))
+    return runs.loaded_verdicts(h.select(F.col("execution_arn").alias("key"), body.alias("body")))
+
+
+def marker_verdicts(spark, sf):
+    marker = F.when(F.col("status") == "SUCCEEDED", F.to_json(F.struct(F.lower("status").alias("cycle_verdict")))).when(F.col("status") == "FAILED", "{}")
+    return table(spark, sf, "run_executions").select("execution_arn", runs.marker_verdict(marker).alias("verdict"))
+
+
+def built_records(spark, sf):
+    d = table(spark, sf, "documents").filter("published_at is not null")
+    columns = {"captured_at": F.col("published_at"), "record_id": F.col("doc_id"), "model": F.col("source"), "call_seq": F.lit(0), "input_messages": F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("lang").alias("lang")), {"ignoreNullFields": "false"})}
+    out = records.built_records(d, "notes", columns)
+    return out.select("schema_version", "producer", "record_id", "model", F.col("provenance.source").alias("source"), F.col("provenance.content_hash").alias("content_hash"))
+
+
+def _raw_record():
+    n = F.length("execution_arn") % 4
+    source = F.lower(F.element_at(F.array(F.lit("replay"), F.lit("synthetic"), F.lit("vendor"), F.lit("live")), (F.length("execution_name") % 4 + 1).cast("int")))
+    typed = F.to_json(F.struct(F.struct(source.alias("source"), F.lit("abc").alias("content_hash")).alias("provenance"), F.lit("replay").alias("source")))
+    legacy = F.to_json(F.struct(source.alias("source"), F.struct(F.lit("synthetic").alias("source")).alias("meta"), F.array(F.lit("m")).alias("input_messages")))
+    meta = F.to_json(F.struct(F.struct(source.alias("source")).alias("meta"), F.struct(F.lit("x").alias("name")).alias("model_metadata")))
+    return F.when(n == 0, typed).when(n == 1, legacy).when(n == 2, meta).otherwise("{}")
+
+
+def record_provenance(spark, sf):
+    t = _raw_record()
+    return table(spark, sf, "run_executions").select("execution_arn", records.record_source(t).alias("source"), records.record_hash(t).alias("content_hash"), records.is_model_decision(t).alias("by_model"))
+
+
+def record_invariants(spark, sf):
+    a, b, c = (F.col("p_size") % 7) / 10.0, (F.col("p_partkey") % 5) / 10.0, F.lit(0.4)
+    p = table(spark, sf, "part")
+    return p.select(
+        "p_partkey",
+        records.strongest({"growth": a, "value": b, "quality": c}).alias("stance"),
+        records.sums_to_one([a, b, c], 1e-3).alias("sum_ok"),
+        records.within(F.create_map(F.lit("x"), 0.6 + a, F.lit("y"), 0.8 + b), 0.7, 1.3).alias("modifiers_ok"),
+        records.agent_schema(F.concat_ws(":", F.element_at(F.array(F.lit("macro"), F.lit("sector"), F.lit("other")), (F.col("p_size") % 3 + 1).cast("int")), "p_brand"), {"macro": "MacroOutput", "sector": "SectorOutput"}).alias("agent_schema"),
+        records.overall_score([F.col("p_size"), F.col("p_partkey") % 11]).alias("score"),
+        F.array_join(records.choice_faults(F.col("p_size") % 3, F.array(F.col("p_partkey") % 3, F.col("p_partkey") % 4)), ",").alias("faults"),
+        F.array_join(records.trimmed_strings(F.array(F.concat(F.lit("  "), "p_brand"), F.lit("  "), F.col("p_name"))), "|").alias("evidence"),
+    )
+
+
+def string_leaves(spark, sf):
+    """Every string in the runs' inputs, however deep."""
+    v = json_values(table(spark, sf, "run_executions").select("execution_arn", "input"), ["execution_arn"], ["input"]).filter("startswith(value, '\"')")
+    return v.groupBy("execution_arn").agg(F.count(F.lit(1)).alias("n_strings"))
+
+
+def check_envelopes(spark, sf):
+    status = F.when(F.col("status") == "SUCCEEDED", "ok").when(F.col("status") == "RUNNING", "unknown").otherwise("fail")
+    return records.check_results(table(spark, sf, "run_executions"), F.col("execution_arn"), F.col("execution_name"), status, F.col("redrive_status_reason"), 60)
+
+
+def collector_errors(spark, sf):
+    status = F.when(F.col("status") == "FAILED", "error").otherwise("ok")
+    return records.collector_errors(table(spark, sf, "run_executions").withColumn("outcome", status), ["state_machine_arn"], "outcome")
+
+
+def self_tests(spark, sf):
+    result = F.when(F.col("p_size") == 1, "FAIL").when(F.col("p_size") == 2, "ERROR").when(F.col("p_size") > 3, "PASS")
+    return records.self_test(table(spark, sf, "part").withColumn("result", result), ["p_brand"], "result")
+
+
+def planted_secrets(spark, sf):
+    """The secret scan over whole texts in which secrets were put, one kind for every seventh text."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    k = F.col("doc_id") % 7
+    secret = F.when(k == 0, F.concat(F.lit("AKIA"), F.rpad(F.upper(F.hex("doc_id")), 16, "Q"))).when(k == 1, F.concat(F.lit("api_key = "), F.md5(F.col("doc_id").cast("string")))).when(k == 2, F.lit("-----BEGIN RSA PRIVATE KEY-----")).when(k == 3, F.lit("https://user:pass@host.example/x")).otherwise("")
+    kinds = records.secret_kinds(F.concat_ws(" ", "text", secret))
+    return d.select("doc_id", F.array_join(kinds, ",").alias("kinds")).filter("kinds != ''")
+
+
+_QUERIES = [work_verdicts, cycle_shapes, run_depth, role_buckets, cause_frequency, looping_machines, cycle_wall_clock, pipeline_state, coverage_alerts, coverage_report, loaded_verdicts, marker_verdicts, built_records, record_provenance, record_invariants, string_leaves, check_envelopes, collector_errors, self_tests, planted_secrets]
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in _QUERIES}
+
+
+_ENTERED = f"""{_ONCE}, xs as (select execution_arn, event_id, state_entered_event_details.name s from ev where state_entered_event_details.name is not null),
+ys as (select *, lag(s) over (partition by execution_arn order by event_id) b from xs), en as (select execution_arn, row_number() over (partition by execution_arn order by event_id) pos, s state from ys where b is null or b <> s)"""
+_SPINE = """sp as (select state_machine_arn m, state_entered_event_details.name stage, length(state_entered_event_details.name) place from run_history where state_entered_event_details.name is not null group by 1, 2 having count(*) > 3
+union all select distinct state_machine_arn, 'Start', 0 from run_executions)"""
+_WORK = f"""{_ENTERED}, {_SPINE}, te as (select execution_arn, arg_max(state, pos) terminal from en group by 1), st as (select distinct execution_arn, state from en),
+ms as (select e.execution_arn, sp.stage, sp.place, st.state is not null hit from run_executions e join sp on sp.m = e.state_machine_arn left join st on st.execution_arn = e.execution_arn and st.state = sp.stage),
+ag as (select execution_arn, count(*) filter (where hit) n_entered, count(*) filter (where not hit) n_missing, coalesce(string_agg(stage, ',' order by stage) filter (where not hit), '') missing from ms group by 1),
+wk as (select e.execution_arn, e.state_machine_arn m, te.terminal, n_entered, n_missing, missing, case when status = 'RUNNING' then 'still_running' when status in ('FAILED', 'TIMED_OUT', 'ABORTED') then 'execution_failed'
+when length(te.terminal) % 4 = 1 and (e.state_machine_arn, te.terminal) in (select (m, stage) from sp) then 'declared_skip' when n_entered = 0 then 'vacuous_success' when n_missing > 0 then 'partial_success' else 'full_run' end reason
+from run_executions e join ag using (execution_arn) left join te using (execution_arn)),
+vk as (select *, case reason when 'still_running' then 'in_flight' when 'declared_skip' then 'skipped' when 'full_run' then 'completed' else 'incomplete' end verdict from wk)"""
+_ROLE = "case when json_valid(input) then json_extract_string(input, '$.pipeline_role') end"
+_ATT = f"""{_ONCE}, fa as (select execution_arn, min(event_id) a, arg_min(event_type, event_id) error from ev where event_type in ('TaskFailed', 'ExecutionFailed') group by 1),
+fs as (select fa.execution_arn, arg_max(state_entered_event_details.name, event_id) filter (where state_entered_event_details.name is not null and event_id < a) s from fa join ev using (execution_arn) group by 1),
+att as (select e.execution_arn, state_machine_arn, date_trunc('month', start_date)::date cycle, start_date, status, case when status <> 'SUCCEEDED' then coalesce(fs.s || ':' || fa.error, 'unresolved:' || e.execution_arn) end cause from run_executions e left join fa using (execution_arn) left join fs using (execution_arn))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    secrets = ", ".join("case when regexp_matches(t, '" + p.replace("'", "''") + f"') then '{k}' end" for k, p in sorted(records.SECRETS.items()))
+    return {
+        "work_verdicts": f"with {_WORK} select execution_arn, verdict, reason, terminal, n_entered, missing from vk",
+        "cycle_shapes": f"""with {_WORK}, e as (select execution_arn, state_machine_arn m, date_trunc('month', start_date)::date c, nullif({_ROLE}, 'audit') role from run_executions),
+cnt as (select vk.*, e.c from vk join e using (execution_arn) where role is null or role = '' or role in ('weekly', 'weekday', 'eod', 'watch-rerun', 'recovery')),
+cy as (select distinct c, mm.m from e, (select distinct state_machine_arn m from run_executions where length(state_machine_arn) % 2 = 0) mm),
+g as (select m, c, count(*) n, bool_and(verdict = 'skipped') sk, bool_or(verdict = 'in_flight') fl from cnt group by 1, 2), hs as (select distinct cnt.m, cnt.c, ms.stage from cnt join ms using (execution_arn) where hit),
+mi as (select cy.m, cy.c, count(*) filter (where hs.stage is null) k from cy join sp on sp.m = cy.m left join hs on hs.m = cy.m and hs.c = cy.c and hs.stage = sp.stage group by 1, 2),
+r as (select cy.m, cy.c, coalesce(n, 0) n, k, case when n is null then 'no_executions' when k = 0 then case when n > 1 then 'recovered_across_executions' else 'full_cycle' end when sk then 'declared_skip' when fl then 'still_running' else 'partial_cycle' end reason
+from cy left join g on g.m = cy.m and g.c is not distinct from cy.c and cy.c is not null left join mi on mi.m = cy.m and mi.c is not distinct from cy.c)
+select m state_machine_arn, c as cycle, case when reason in ('recovered_across_executions', 'full_cycle') then 'completed' when reason = 'declared_skip' then 'skipped' when reason = 'still_running' then 'in_flight' else 'incomplete' end verdict, reason, n n_runs, k::int missing_stages from r""",
+        "run_depth": f"with {_ENTERED}, {_SPINE}, q as (select stage, max(place) place from sp group by 1) select execution_arn, max(place) depth from en left join q on q.stage = en.state group by 1",
+        "role_buckets": f"""with r as (select execution_arn, {_ROLE} as rl from run_executions) select execution_arn, rl "role", case when rl in ('weekly', 'weekday', 'eod') then 'cadence' when rl in ('watch-rerun', 'recovery') then 'recovery' when rl = 'exercise' then 'exercise' when rl in ('smoke', 'shell-run', 'backfill', 'operator-replay') then 'adhoc' end bucket,
+coalesce(rl in ('weekly', 'watch-rerun', 'recovery'), false) weekly from r""",
+        "cause_frequency": f"with {_ATT} select state_machine_arn, cause, count(*) n from att where cause is not null and not starts_with(cause, 'unresolved:') group by 1, 2",
+        "looping_machines": f"""with {_ATT}, lc as (select distinct state_machine_arn, cycle from att where cycle is not null qualify dense_rank() over (partition by state_machine_arn order by cycle desc) <= 6), aa as (select att.* from att join lc using (state_machine_arn, cycle)),
+k as (select distinct state_machine_arn, cycle, split_part(cause, ':', 1) c from aa where status <> 'SUCCEEDED'), f as (select *, min(cycle) over (partition by state_machine_arn, c) fc from k),
+n as (select state_machine_arn, cycle, count(*) filter (where fc < cycle) rc from f group by 1, 2), p as (select state_machine_arn, cycle, count(*) attempts from aa group by 1, 2),
+w as (select p.*, coalesce(rc, 0) rc, month(cycle) % 5 <> 0 and attempts <= 30 ok from p left join n using (state_machine_arn, cycle))
+select state_machine_arn, arg_max(rc > 0, cycle) filter (where ok) looping from w group by 1""",
+        "cycle_wall_clock": "select state_machine_arn, date_trunc('month', start_date)::date as cycle, round(sum(epoch(stop_date) - epoch(start_date)), 3) wall_clock_sec, count(stop_date) n_ended from run_executions group by 1, 2",
+        "pipeline_state": f"""with {_ENTERED}, r as (select *, {_ROLE} as rl from run_executions where start_date is not null), l as (select * from r where rl in ('weekly', 'audit', 'weekday') qualify row_number() over (partition by state_machine_arn order by start_date desc, execution_arn desc) = 1),
+s as (select execution_arn, count(*) n, arg_max(state, pos) last from en group by 1) select state_machine_arn, execution_arn, status, rl "role", coalesce(n, 0) n_states, last last_state from l left join s using (execution_arn)""",
+        "coverage_alerts": f"with {_SPINE}, g as (select m, count(*) filter (where length(stage) % 5 = 0) a, count(*) filter (where length(stage) % 5 = 1) f from sp group by 1) select m state_machine_arn, concat_ws('; ', case when length(m) % 5 = 0 then 'denominator_unestablished' end, case when a > 0 then 'absent_verdicts=' || a end, case when f > 1 then 'findings=' || f end) conditions from g",
+        "coverage_report": f"with {_SPINE} select m state_machine_arn, stage, ['absent', 'finding', 'unmeasured', 'covered'][length(stage) % 5 + 1] coverage, row_number() over (partition by m order by length(stage) % 5, stage) line from sp where length(stage) % 5 < 4",
+        "loaded_verdicts": "select execution_arn \"key\", case when length(execution_arn) % 3 < 2 then execution_name end stage, case when length(execution_arn) % 3 < 2 then status end status, length(execution_arn) % 3 < 2 readable from run_executions",
+        "marker_verdicts": "select execution_arn, case when status = 'SUCCEEDED' then 'succeeded' else 'unknown' end verdict from run_executions",
+        "built_records": """select 3 schema_version, 'notes' producer, doc_id record_id, source model, 'live' source, sha256('{"id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || '}') content_hash from documents where published_at is not null""",
+        "record_provenance": """with x as (select execution_arn, length(execution_arn) % 4 n, ['replay', 'synthetic', 'vendor', 'live'][length(execution_name) % 4 + 1] s from run_executions)
+select execution_arn, case when n = 0 then case when s = 'vendor' then 'replay' else s end when n = 1 then case when s = 'vendor' or s is null then 'synthetic' else s end when n = 2 then case when s = 'vendor' then 'live' else coalesce(s, 'live') end else 'live' end source,
+case n when 0 then 'abc' when 1 then sha256('["m"]') else sha256('null') end content_hash, n = 2 by_model from x""",
+        "record_invariants": """with x as (select *, p_size % 7 / 10.0 a, p_partkey % 5 / 10.0 b from part)
+select p_partkey, case when a >= b and a >= 0.4 then 'growth' when b >= 0.4 then 'value' else 'quality' end stance, abs(a + b + 0.4 - 1) <= 1e-3 sum_ok, 0.6 + a between 0.7 and 1.3 and 0.8 + b between 0.7 and 1.3 modifiers_ok,
+case p_size % 3 when 0 then 'MacroOutput' when 1 then 'SectorOutput' end agent_schema, round_even((p_size + p_partkey % 11) / 2.0, 0)::int score,
+concat_ws(',', case when p_size % 3 in (p_partkey % 3, p_partkey % 4) then 'primary_in_secondary' end, case when p_partkey % 3 = p_partkey % 4 then 'repeated' end) faults, concat_ws('|', trim(p_brand), trim(p_name)) evidence from x""",
+        "string_leaves": """with recursive t as (select execution_arn, input::json j from run_executions where json_valid(input)),
+o as (select execution_arn, case when json_type(j) = 'VARCHAR' and regexp_matches(j ->> '$', '^\\s*[\\[{]') and json_valid(j ->> '$') and json_type((j ->> '$')::json) in ('OBJECT', 'ARRAY') then (j ->> '$')::json else j end j from t),
+w as (select execution_arn, j, row_number() over () k from o union all
+select execution_arn, case when json_type(c) = 'VARCHAR' and regexp_matches(c ->> '$', '^\\s*[\\[{]') and json_valid(c ->> '$') and json_type((c ->> '$')::json) in ('OBJECT', 'ARRAY') then (c ->> '$')::json else c end, k
+from (select execution_arn, k, unnest(case json_type(j) when 'ARRAY' then json_extract(j, '$[*]') when 'OBJECT' then json_extract(j, '$.*') else [] end) c from w))
+select execution_arn, count(*) n_strings from w where json_type(j) = 'VARCHAR' group by 1""",
+        "check_envelopes": "select execution_arn check_id, execution_name label, case status when 'SUCCEEDED' then 'ok' when 'RUNNING' then 'unknown' else 'fail' end status, redrive_status_reason summary, 60 cadence_minutes from run_executions",
+        "collector_errors": "select state_machine_arn, count(*) n, count(*) filter (where status = 'FAILED') n_errors from run_executions group by 1",
+        "self_tests": "select p_brand, count(*) filter (where p_size <> 3) n, case when bool_or(p_size = 1) then 'FAIL' when bool_or(p_size = 2) or count(*) filter (where p_size <> 3) = 0 then 'UNKNOWN' else 'PASS' end verdict from part group by 1",
+        "planted_secrets": f"""with t as (select doc_id, concat_ws(' ', text, case doc_id % 7 when 0 then 'AKIA' || rpad(upper(hex(doc_id)), 16, 'Q') when 1 then 'api_key = ' || md5(doc_id::varchar) when 2 then '-----BEGIN RSA PRIVATE KEY-----' when 3 then 'https://user:pass@host.example/x' else '' end) t from documents),
+k as (select doc_id, concat_ws(',', {secrets}) kinds from t) select * from k where kinds <> ''""",
+    }

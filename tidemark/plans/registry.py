@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import health_queries, model_queries, portfolio_queries, problems, runs_queries, series_queries, stream_queries
+from tidemark.plans import health_queries, model_queries, portfolio_queries, problems, record_queries, runs_queries, series_queries, stream_queries
 
 
 def modules() -> list:
-    return [problems, series_queries, portfolio_queries, model_queries, runs_queries, health_queries, stream_queries]
+    return [problems, series_queries, portfolio_queries, model_queries, runs_queries, health_queries, record_queries, stream_queries]
