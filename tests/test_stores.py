@@ -1,0 +1,194 @@
+"""Stores, indexes, ingest, markers and guards: what isn't a registered query."""
+
+from datetime import UTC, date, datetime
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions.numeric import mean_ranks
+from tidemark.operators import evaluation, freshness, inventory, portfolio, records, retrieval, risk, runs
+from tidemark.operators.horizons import Horizons, outcome_columns
+from tidemark.sources import tables
+
+
+def test_transactions_are_seen_whole_or_not(spark, tmp_path):
+    db = tables.Database(spark, f"{tmp_path}/db")
+    assert not db.available() and db.read("a") is None
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "id int, v string")
+    db.insert("a", rows)
+    db.insert("a", rows)
+    with pytest.raises(RuntimeError), db.transaction() as t:
+        t.append("a", rows)
+        raise RuntimeError
+    assert db.available() and db.read("a").count() == 4
+    got = db.query("select id, count(*) n from a where id >= :least group by id", {"least": 2}).collect()
+    assert [tuple(r) for r in got] == [(2, 2)]
+
+
+def test_ingest_takes_what_is_new_with_chunks_and_vectors(spark, tmp_path):
+    db = tables.Database(spark, f"{tmp_path}/db")
+    docs = "id string, ticker string, doc_type string, filed_date date, source string, external_id string, sector string, title string, url string"
+    d = spark.createDataFrame([("a", "T", "10-K", date(2024, 1, 1), "s", None, None, None, None), ("b", "T", "news", date(2024, 1, 1), "s", "e1", None, None, None), ("c", "T", "10-K", date(2024, 1, 1), "s", None, None, None, None)], docs)
+    c = spark.createDataFrame([("c1", "a", 0, "first text", None, None), ("c2", "b", 0, "other", None, [0.5] * 512), ("c3", "c", 0, "again", None, None)], "id string, document_id string, chunk_index int, content string, section_label string, embedding array<float>")
+    assert {r.id for r in retrieval.ingest(d, c, db, mirror_to=f"{tmp_path}/flat").collect()} == {"a", "b"}
+    assert retrieval.ingest(d, c, db).count() == 0
+    held = {r.id: r.embedding for r in db.read("chunks").collect()}
+    assert set(held) == {"c1", "c2"} and held["c2"] == [0.5] * 512 and len(held["c1"]) == 512
+    assert tables.corpus(spark, f"{tmp_path}/flat", doc_types=["10-K"]).count() == 1
+
+
+def test_vector_index_finds_most_neighbours_and_all_if_it_probes_all(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 1200)] + 0.3 * rng.normal(size=(1200, 16))
+    rows = [(f"k{i:04d}", [float(v) for v in r], i) for i, r in enumerate(x)] + [("none", None, 0), ("short", [1.0], 0), ("zero", [0.0] * 16, 0)]
+    corpus = spark.createDataFrame(rows, "id string, v array<float>, note int")
+    retrieval.VectorIndex.build(corpus, "id", "v", 16, f"{tmp_path}/index", keep=["note"])
+    index = retrieval.VectorIndex(spark.newSession(), f"{tmp_path}/index")
+    q = corpus.filter("note % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    want = {(r.query_id, r.id) for r in retrieval.block_search(q, corpus, "id", "v", 5, 16).filter("similarity is not null").collect()}
+    near = {(r.query_id, r.id) for r in index.query(q, "id", 5, probes=4).collect()}
+    everything = index.query(q, "id", 5, probes=10_000).collect()
+    assert {(r.query_id, r.id) for r in everything} == want and all(f"k{r.note:04d}" == r.id for r in everything)
+    assert len(near & want) >= 0.9 * len(want)
+
+
+def test_rerankers_by_name_and_scores_kept(spark, tmp_path):
+    calls = []
+    retrieval.register_reranker("length", lambda q, t: t.str.len().astype(float))
+    with pytest.raises(ValueError):
+        retrieval.get_reranker("none")
+    c = spark.createDataFrame([(1, "q", "a", "xx"), (1, "q", "b", "xxxx"), (1, "q", "c", "x")], "query_id int, qt string, id string, text string")
+    for _ in range(2):
+        got = retrieval.rerank_with_cache(c, retrieval.get_reranker("length"), "qt", "text", "id", 2, f"{tmp_path}/scores").collect()
+        assert [(r.id, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [("b", 1), ("a", 2)]
+        calls.append(spark.read.parquet(f"{tmp_path}/scores").count())
+    assert calls == [3, 3]
+
+
+def test_documents_by_window_and_pointer(spark):
+    o = spark.createDataFrame([(date(2024, 1, 1), "k1", '{"a":1}'), (date(2024, 1, 3), "k2", "{cut"), (date(2023, 1, 1), "k0", "{}")], "source_date date, key string, body string")
+    asked = spark.createDataFrame([(date(2024, 1, 4),), (date(2024, 3, 1),)], "run_date date")
+    got = {r.run_date: (r.key, r.age_days) for r in tables.readable_in_window(o, asked, 7).collect()}
+    assert got == {date(2024, 1, 4): ("k1", 3), date(2024, 3, 1): (None, None)}
+    d = spark.createDataFrame([("p/latest.json", '{"artifact_key":"p/24.json"}'), ("p/24.json", '{"v":1}'), ("q/latest.json", "no")], "key string, body string")
+    assert [r.body for r in tables.latest_artifact(d, "p/").collect()] == ['{"v":1}'] and tables.latest_artifact(d, "q").count() == 0
+
+
+def test_phases_leave_markers_and_trials_are_seeded_once(spark, tmp_path):
+    path = f"{tmp_path}/markers"
+    with tables.phase(spark, path, "r1", "load") as todo:
+        assert todo
+    with tables.phase(spark, path, "r1", "load", skip_done=True) as todo:
+        assert not todo
+    with pytest.raises(KeyError), tables.phase(spark, path, "r1", "score"):
+        raise KeyError("x")
+    assert sorted((r.phase, r.status) for r in spark.read.parquet(path).collect()) == [("load", "ok"), ("score", "error")]
+    trials = tables.TrialCounter(spark, f"{tmp_path}/trials")
+    trials.seed({"a": 5, "b": 0}, "2024-01-01")
+    with pytest.raises(ValueError):
+        trials.seed({"a": 7}, "2024-01-02")
+    trials.seed({"a": 7}, "2024-01-02", overwrite=True)
+    assert {r.producer: r.n for r in trials.totals().collect()} == {"a": 7}
+
+
+def test_horizons():
+    h = Horizons(21, (63, 5, 5))
+    assert h.all == (21, 5, 63) and h.skill_target(21) == "log_alpha_21d" and h.skill_target(5) == "return_5d" and h.gate() == "beat_spy_21d"
+    assert outcome_columns(5)["spy_return"] == "spy_5d_return"
+    for bad in (lambda: Horizons(5, (5,)), lambda: Horizons(0), lambda: outcome_columns(0)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_primary_horizon_must_be_there(spark):
+    df = spark.createDataFrame([(5,)], "horizon int")
+    with pytest.raises(ValueError):
+        Horizons(21).require_primary(df)
+    Horizons(5, ()).require_primary(df)
+
+
+def test_guards_fail_the_query(spark):
+    v = spark.createDataFrame([("a", True, None), ("b", False, "broken"), ("c", None, None)], "check string, passed boolean, message string")
+    assert {r.check: r.action for r in freshness.guarded(v, False).collect()} == {"a": "pass", "b": "report", "c": "report"}
+    with pytest.raises(Exception, match="broken"):
+        freshness.guarded(v.filter("check = 'b'"), True).collect()
+    with pytest.raises(ValueError):
+        freshness.gate_alerts(v, "data", "loud")
+    with pytest.raises(ValueError):
+        runs.cadence_roles("exercise")
+    with pytest.raises(ValueError):
+        inventory.rows_of(v, "hourly")
+    one = spark.createDataFrame([("d", 1, 1.0), ("d", 1, 1.0)], "d string, k int, v double")
+    with pytest.raises(ValueError, match="duplicate_input"):
+        evaluation.assert_seam(one, one.limit(1), "d", "k", "v")
+    with pytest.raises(Exception, match="lacks a mean"):
+        evaluation.recompute_spread(spark.createDataFrame([(1.0, None)], "input_mean double, output_mean double")).collect()
+    with pytest.raises(Exception, match="no such status"):
+        records.check_results(one, F.col("d"), F.col("d"), F.lit("odd"), F.col("d"), 5).collect()
+    with pytest.raises(Exception, match="missing"):
+        records.validated(spark.createDataFrame([("{}",)], "t string"), "t", {"required": ["a"]}).collect()
+
+
+def test_fresh_or_fail(spark):
+    rows = spark.createDataFrame([("a", date(2024, 1, 1)), ("b", date(2024, 1, 30)), ("n", None)], "symbol string, day date")
+    at = F.lit(date(2024, 2, 1))
+    assert [r.symbol for r in freshness.stale_symbols(rows, "symbol", "day", at, 5).collect()] == ["n", "a"]
+    freshness.require_fresh(rows.filter("symbol = 'b'"), "symbol", "day", at, 5)
+    for bad in (rows, rows.limit(0)):
+        with pytest.raises(RuntimeError):
+            freshness.require_fresh(bad, "symbol", "day", at, 5)
+    listing = spark.createDataFrame([("k", datetime(2024, 1, 1))], "key string, modified timestamp")
+    freshness.require_object(listing, "k", F.lit("2024-01-02").cast("timestamp"), 1)
+    for key, days in (("k", 0), ("z", None)):
+        with pytest.raises(RuntimeError):
+            freshness.require_object(listing, key, F.lit("2024-01-03").cast("timestamp"), days)
+
+
+def test_session_days():
+    assert freshness.last_closed_trading_day(datetime(2024, 6, 12, 21, 0)) == date(2024, 6, 12)
+    assert freshness.last_closed_trading_day(datetime(2024, 6, 12, 15, 0)) == date(2024, 6, 11)
+    assert freshness.last_closed_trading_day(datetime(2024, 6, 17, 12, 0, tzinfo=UTC).replace(tzinfo=None)) == date(2024, 6, 14)
+    assert freshness.previous_trading_day(date(2024, 6, 20)) == date(2024, 6, 18)
+
+
+def test_pillar_weights_and_costs():
+    assert portfolio.pillar_weights({"quality": 2, "value": 1, "growth": -5})["quality"] == round(2 / 3, 6)
+    assert set(portfolio.pillar_weights({}).values()) == {round(1 / 6, 6)}
+    assert portfolio.TransactionCosts.from_config(None) == portfolio.TransactionCosts(2.5, 10.0, 0.5, 0.0)
+
+
+def test_deflated_sharpe_threshold_and_trials(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([("a", float(v)) for v in rng.normal(0.05, 1, 400)] + [("few", 1.0)], "g string, r double")
+    one = {r.g: r for r in risk.deflated_sharpe(df, ["g"], "r", 1).collect()}
+    many = {r.g: r for r in risk.deflated_sharpe(df, ["g"], "r", 1000).collect()}
+    assert one["a"].threshold == 0 and one["a"].dsr > many["a"].dsr and many["few"].dsr is None and many["few"].status == "insufficient"
+    a = np.sqrt(2 * np.log(2))
+    assert abs(risk.expected_max_sharpe(1.0, 2) - (a - (0.5772156649015329 + np.log(np.log(2))) / (2 * a))) < 1e-12
+    with pytest.raises(ValueError):
+        risk.deflated_sharpe(df, ["g"], "r", 0)
+
+
+def test_mean_ranks_match_one_sort(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.choice(["x", "y"], 3000), "v": np.where(rng.random(3000) < 0.4, 7.0, rng.integers(0, 900, 3000)).astype(float)})
+    got = mean_ranks(spark.createDataFrame(pdf), ["g"], "v", "r").toPandas()
+    want = pdf.assign(r=pdf.groupby("g")["v"].rank())
+    key = lambda d: sorted(map(tuple, d[["g", "v", "r"]].to_numpy()))
+    assert key(got) == key(want)
+    assert mean_ranks(spark.createDataFrame([], "g string, v double"), ["g"], "v", "r").count() == 0
+
+
+def test_newey_west_lags_of_a_large_group(spark):
+    n = 180_000  # asks for 21 lags
+    df = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("t"), (F.sin(F.col("id") / 7.0) + F.col("id") % 13 / 5.0).alias("v"))
+    v = np.sin(np.arange(n) / 7.0) + np.arange(n) % 13 / 5.0
+    e, lags = v - v.mean(), int(4 * (n / 100) ** (2 / 9))
+    assert lags == 21
+    s = (e @ e) + sum(2 * (1 - j / (lags + 1)) * (e[j:] @ e[:-j]) for j in range(1, lags + 1))
+    got = risk.newey_west(df, ["g"], "t", "v").first()
+    assert abs(got.std_error - np.sqrt(max(s, 0)) / n) < 1e-9

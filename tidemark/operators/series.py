@@ -57,9 +57,12 @@ def universe(rows: DataFrame, members: DataFrame, keep: bool = True) -> DataFram
 def roster_at(asked: DataFrame, changes: DataFrame, date: str) -> DataFrame:
     """``asked`` with the roster in force at ``date``: a roster holds until before its change date, so the first change strictly after
     rules; null after the last change."""
-    hit = asked.select(date).distinct().join(changes.select("change_date", "tickers"), F.col("change_date") > F.col(date))
-    first = hit.groupBy(date).agg(F.min_by("tickers", "change_date").alias("tickers"))
-    return asked.join(first, date, "left")
+    # only dates are ordered and carry the change's date back; the roster itself is joined once
+    day = asked.select(F.col(date).alias("t")).filter("t is not null").distinct().select("t", F.lit(1).alias("side"), F.lit(None).cast("date").alias("c"))
+    both = day.unionByName(changes.select(F.col("change_date").alias("t"), F.lit(0).alias("side"), F.col("change_date").cast("date").alias("c")).filter("t is not null"))
+    after = Window.partitionBy().orderBy("t", "side").rowsBetween(1, Window.unboundedFollowing)  # distinct days, of which there are some ten thousand in a lifetime
+    rules = both.withColumn("rules", F.first("c", ignorenulls=True).over(after)).filter("side = 1").select(F.col("t").alias(date), F.col("rules").alias("change_date"))
+    return asked.join(rules, date, "left").join(changes.select("change_date", "tickers"), "change_date", "left").drop("change_date")
 
 
 def returns(prices: DataFrame, price: str = "close", fill: bool = False) -> DataFrame:

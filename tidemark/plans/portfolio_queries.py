@@ -127,31 +127,54 @@ def keyword_topk(spark, sf):
     return _r(retrieval.keyword_search(_text_queries(spark, sf), table(spark, sf, "documents"), "doc_id", "text", 5), 6, "score")
 
 
-def hybrid_blend(spark, sf):
-    q = _vector_queries(spark, sf)
-    v = retrieval.vector_search(q, table(spark, sf, "embeddings"), "vec_id", "embedding", 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
-    same = table(spark, sf, "embeddings").join(F.broadcast(q.select("query_id").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")), F.col("label") == F.col("ql"))
-    t = same.select("query_id", "vec_id", (1.0 / (1 + F.abs(F.col("vec_id") - F.col("query_id")))).alias("score"))
-    t = retrieval.top_k(t, "query_id", "score", "vec_id", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
-    return retrieval.blend(v, t, "vec_id", 0.7, 10)
+def _chunks(spark, sf):
+    return table(spark, sf, "rag_chunks").filter("size(embedding) = 512")
 
 
-def filtered_vector_topk(spark, sf):
-    docs = retrieval.metadata_filter(table(spark, sf, "rag_documents"), doc_types=["10-K", "10-Q"], min_date="2023-06-01")
-    chunks = table(spark, sf, "rag_chunks").filter("size(embedding) = 512").join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    q = table(spark, sf, "rag_chunks").filter("size(embedding) = 512 and id like '00%'").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
-    return _r(retrieval.vector_search(q, chunks, "id", "embedding", 5), 4, "similarity").filter("similarity > 0.6")
+def _one_in_fifty(column):
+    """The stated query set: ids whose digest is divisible by 50."""
+    return F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("bigint") % 50 == 0
 
 
-def filtered_vector_neighbours(spark, sf):
-    """The 5 nearest filings chunks of every chunk in the one-in-fifty set: ids whose CRC-32 is divisible by 50."""
+def _chunk_queries(spark, sf):
+    """Every fiftieth chunk as a query: its vector, and the title of its document as the text."""
+    title = table(spark, sf, "rag_documents").select(F.col("id").alias("document_id"), F.coalesce("title", F.lit("")).alias("text"))
+    q = _chunks(spark, sf).filter(_one_in_fifty(F.col("id"))).select(F.col("id").alias("query_id"), "document_id", F.col("embedding").alias("vector"))
+    return q.join(title, "document_id", "left").select("query_id", F.coalesce("text", F.lit("")).alias("text"), "vector")
+
+
+def hybrid_search(spark, sf):
+    """Vector and keyword hits over the chunks, blended."""
+    return _r(retrieval.retrieve(_chunk_queries(spark, sf), _chunks(spark, sf), key="id", vector="embedding", text="content", method="hybrid", k=5, weight=0.7), 5, "score").drop("rank")
+
+
+def _by_length(queries, texts):
+    return ((queries.str.len() * 31 + texts.str.len() * 17) % 101).astype(float)
+
+
+def reranked_search(spark, sf):
+    """The 20 nearest chunks of each query, ordered again by a scorer of the two texts."""
+    return retrieval.retrieve(_chunk_queries(spark, sf), _chunks(spark, sf), key="id", vector="embedding", text="content", method="vector", k=3, pool=20, scorer=_by_length).select("query_id", "id", "score", "rank")
+
+
+def _filtered(spark, sf, asked):
     docs = retrieval.metadata_filter(table(spark, sf, "rag_documents"), doc_types=["10-K", "10-Q"], min_date="2023-06-01")
-    usable = table(spark, sf, "rag_chunks").filter("size(embedding) = 512")
+    usable = _chunks(spark, sf)
     chunks = usable.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    q = usable.filter(F.crc32("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = usable.filter(asked).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     return _r(retrieval.block_search(q, chunks, "id", "embedding", 5, 512), 4, "similarity")
 
 
+def filtered_vector_neighbours(spark, sf):
+    """The 5 nearest filings chunks of every chunk in the one-in-fifty set: ids whose CRC-32 is divisible by 50."""
+    return _filtered(spark, sf, F.crc32("id") % 50 == 0)
+
+
+def filtered_search(spark, sf):
+    """The same for the one-in-fifty set that SQL can state too."""
+    return _filtered(spark, sf, _one_in_fifty(F.col("id")))
+
+
 def ingest_dedup(spark, sf):
     d = table(spark, sf, "rag_documents")
     old, new = d.filter("ingested_at < timestamp'2023-09-01'"), d.filter("ingested_at >= timestamp'2023-09-01' or ingested_at is null")
@@ -163,7 +186,7 @@ def partition_scan(spark, sf):
     return d.groupBy("doc_type", "filed_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-_QUERIES = [brinson_by_period, carino_linked, transaction_cost, tradeability_pct, attractiveness, beta_ols_single, factor_model, factor_covariance, shrunk_covariance, portfolio_risk, tracking_error, fm_factor_returns, vector_topk, keyword_topk, hybrid_blend, filtered_vector_topk, filtered_vector_neighbours, ingest_dedup, partition_scan]
+_QUERIES = [brinson_by_period, carino_linked, transaction_cost, tradeability_pct, attractiveness, beta_ols_single, factor_model, factor_covariance, shrunk_covariance, portfolio_risk, tracking_error, fm_factor_returns, vector_topk, keyword_topk, hybrid_search, reranked_search, filtered_vector_neighbours, filtered_search, ingest_dedup, partition_scan]
 
 
 def queries() -> dict:
@@ -200,6 +223,10 @@ w as (select l.*, w / sum(w) over () w from w0 join l using (t)), c as (select v
 select round(sqrt(fv * 252), 9) factor_vol, round(sqrt(iv * 252), 9) idio_vol, round(sqrt((fv + iv) * 252), 9) total_vol, round(fv / (fv + iv), 9) factor_share from r"""
     vq = "q as (select vec_id query_id, embedding v, label ql from embeddings where vec_id % 50 = 0)"
     vtop = f"select query_id, e.vec_id, {cosine} s from q, embeddings e qualify row_number() over (partition by query_id order by s desc, e.vec_id) <= 10"
+    chunk_q = """with c as (select id, document_id did, content, embedding::double[512] v from rag_chunks where len(embedding) = 512),
+q as (select c.id query_id, coalesce(title, '') as text, v from c left join rag_documents rd on rd.id = c.did where ('0x' || substr(md5(c.id), 1, 8))::bigint % 50 = 0),
+p as (select query_id, c.id, c.did, case when array_inner_product(q.v, q.v) > 0 and array_inner_product(c.v, c.v) > 0 and isfinite(array_inner_product(q.v, q.v)) and isfinite(array_inner_product(c.v, c.v)) then round(array_inner_product(q.v, c.v) / (sqrt(array_inner_product(q.v, q.v)) * sqrt(array_inner_product(c.v, c.v))), 9) end s from q, c),
+vr as (select *, row_number() over (partition by query_id order by s desc nulls last, id) r from p)"""
     ident = "concat_ws(chr(1), coalesce(ticker, chr(0)), coalesce(doc_type, chr(0)), coalesce(filed_date::varchar, chr(0)), coalesce(source, chr(0)), case when doc_type = 'news' then coalesce(external_id, chr(0)) else '' end)"
     return {
         "brinson_by_period": f"with {_SIDES} select period, grp, round(allocation, 9) allocation, round(selection, 9) selection, round(interaction, 9) interaction, round(contribution, 9) contribution, round(benchmark_contribution, 9) benchmark_contribution from e",
@@ -242,18 +269,20 @@ df as (select term, ln(1 + (select count(*) from documents) / count(*)) idf from
 s as (select query_id, doc_id, round(sum(idf) / (1 + ln(max(n))), 9) score from h join q using (term) join df using (term) group by 1, 2),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from s)
 select query_id, doc_id, round(score, 6) score, rank from r where rank <= 5""",
-        "hybrid_blend": f"""with {vq}, v0 as ({vtop}), v as (select query_id, vec_id, round(s, 6) s from v0),
-t as (select query_id, vec_id, round(1.0 / (1 + abs(vec_id - query_id)), 6) s from q join embeddings on label = ql qualify row_number() over (partition by query_id order by 1.0 / (1 + abs(vec_id - query_id)) desc, vec_id) <= 10),
-vn as (select query_id, vec_id, case when max(s) over w = min(s) over w then 1 else (s - min(s) over w) / (max(s) over w - min(s) over w) end x from v window w as (partition by query_id)),
-tn as (select query_id, vec_id, case when max(s) over w = min(s) over w then 1 else (s - min(s) over w) / (max(s) over w - min(s) over w) end x from t window w as (partition by query_id)),
-b as (select coalesce(vn.query_id, tn.query_id) query_id, coalesce(vn.vec_id, tn.vec_id) vec_id, round(0.7 * coalesce(vn.x, 0) + 0.3 * coalesce(tn.x, 0), 6) score from vn full join tn on vn.query_id = tn.query_id and vn.vec_id = tn.vec_id)
-select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) rank from b qualify rank <= 10""",
-        "filtered_vector_topk": """with d as (select id from rag_documents where doc_type in ('10-K', '10-Q') and filed_date >= date '2023-06-01'),
-c as (select id, embedding::double[512] v from rag_chunks where len(embedding) = 512 and document_id in (select id from d)),
-q as (select id query_id, embedding::double[512] v from rag_chunks where len(embedding) = 512 and id like '00%'),
-p as (select query_id, c.id, case when array_inner_product(q.v, q.v) > 0 and array_inner_product(c.v, c.v) > 0 then array_inner_product(q.v, c.v) / (sqrt(array_inner_product(q.v, q.v)) * sqrt(array_inner_product(c.v, c.v))) end s from q, c),
-r as (select *, row_number() over (partition by query_id order by s desc nulls last, id) rank from p)
-select query_id, id, round(s, 4) similarity, rank from r where rank <= 5 and round(s, 4) > 0.6""",
+        "hybrid_search": f"""{chunk_q},
+v as (select query_id, id, s from vr where r <= 5),
+qt as (select query_id, unnest(list_distinct({terms})) term from q), kd as (select id, {terms.replace('text', 'content')} ts from c), h as (select id, len(ts) n, unnest(list_distinct(ts)) term from kd),
+df as (select term, ln(1 + (select count(*) from c) / count(*)) idf from h where term in (select term from qt) group by 1),
+ks as (select query_id, id, round(sum(idf) / (1 + ln(max(n))), 9) s from h join qt using (term) join df using (term) group by 1, 2), t as (select * from ks qualify row_number() over (partition by query_id order by s desc, id) <= 5),
+vn as (select query_id, id, case when max(s) over w = min(s) over w then 1 else (s - min(s) over w) / (max(s) over w - min(s) over w) end x from v window w as (partition by query_id)),
+tn as (select query_id, id, case when max(s) over w = min(s) over w then 1 else (s - min(s) over w) / (max(s) over w - min(s) over w) end x from t window w as (partition by query_id)),
+b as (select coalesce(vn.query_id, tn.query_id) query_id, coalesce(vn.id, tn.id) id, round(0.7 * coalesce(vn.x, 0) + 0.3 * coalesce(tn.x, 0), 6) s from vn full join tn on vn.query_id = tn.query_id and vn.id = tn.id)
+select query_id, id, round(s, 5) score from b qualify row_number() over (partition by query_id order by s desc, id) <= 5""",
+        "reranked_search": f"""{chunk_q}, x as (select vr.query_id, vr.id, ((length(q.text) * 31 + length(c.content) * 17) % 101)::double score from vr join q using (query_id) join c on c.id = vr.id where r <= 20)
+select query_id, id, score, row_number() over (partition by query_id order by score desc nulls last, id) rank from x qualify rank <= 3""",
+        "filtered_search": f"""{chunk_q}, d as (select id from rag_documents where doc_type in ('10-K', '10-Q') and filed_date >= date '2023-06-01'),
+f as (select query_id, id, s, row_number() over (partition by query_id order by s desc nulls last, id) rank from p where did in (select id from d))
+select query_id, id, round(s, 4) similarity, rank from f where rank <= 5""",
         "ingest_dedup": f"""with k as (select *, {ident} k from rag_documents),
 n as (select * from k where (ingested_at >= timestamp '2023-09-01' or ingested_at is null) and k not in (select k from k where ingested_at < timestamp '2023-09-01'))
 select id, ticker, doc_type from n where id in (select min(id) from n group by k)""",

@@ -78,7 +78,7 @@ def reconcile_stores(spark, sf):
     li = table(spark, sf, "lineitem").filter("l_suppkey % 7 != 3 or l_returnflag = 'N'")
     net = li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg((F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.sum("l_quantity")).alias("close"))
     out = series.reconcile(prices(spark, sf).select("symbol", "date", "close"), net, ["close"])
-    return _r(out.drop("worst_date"), 6, "worst_delta")
+    return _r(out, 6, "worst_delta")
 
 
 def dedup_keep_last(spark, sf):
@@ -120,7 +120,7 @@ def pit_membership(spark, sf):
     o = table(spark, sf, "orders")
     rosters = o.filter("o_orderpriority = '1-URGENT'").groupBy(F.last_day("o_orderdate").alias("change_date")).agg(F.array_sort(F.collect_set("o_custkey")).alias("tickers"))
     asked = table(spark, sf, "events").select(F.to_date(F.col("ts")).alias("asked")).distinct()
-    return series.roster_at(asked.union(o.select(F.to_date("o_orderdate")).distinct()), rosters, "asked").select("asked", F.coalesce(F.size("tickers"), F.lit(-1)).alias("n_members"))
+    return series.roster_at(asked.union(o.select(F.to_date("o_orderdate")).distinct()), rosters, "asked").select("asked", F.coalesce(F.size("tickers"), F.lit(-1)).alias("n_members"), F.array_join("tickers", ",").alias("members"))
 
 
 def _daily(spark, sf):
@@ -284,10 +284,10 @@ coalesce(string_agg(gate, ',' order by gate) filter (where not passed), '') fail
         "reconcile_stores": f"""with {PRICES}, net as (select l_suppkey symbol, l_shipdate::date date, sum(l_extendedprice * (1 - l_discount)) / sum(l_quantity) close from lineitem
 where l_suppkey % 7 <> 3 or l_returnflag = 'N' group by 1, 2),
 n as (select symbol, count(*) nb from net group by 1), p as (select symbol, count(*) na from prices group by 1),
-d as (select a.symbol, count(*) n_cells, count(*) filter (where abs(a.close - b.close) > 1e-6) n_over, max(abs(a.close - b.close)) worst
+d as (select a.symbol, count(*) n_cells, count(*) filter (where abs(a.close - b.close) > 1e-6) n_over, max(abs(a.close - b.close)) worst, arg_max(a.date, struct_pack(d := abs(a.close - b.close), o := -(a.date - date '1970-01-01'))) worst_date
 from prices a join net b on a.symbol = b.symbol and a.date = b.date group by 1)
 select coalesce(p.symbol, n.symbol) symbol, case when na is null then 'only_b' when nb is null then 'only_a' else 'both' end side,
-coalesce(na, 0) - coalesce(nb, 0) row_delta, coalesce(n_cells, 0) n_cells, coalesce(n_over, 0) n_over, round(worst, 6) worst_delta
+coalesce(na, 0) - coalesce(nb, 0) row_delta, coalesce(n_cells, 0) n_cells, coalesce(n_over, 0) n_over, round(worst, 6) worst_delta, worst_date
 from p full join n on p.symbol = n.symbol left join d on d.symbol = coalesce(p.symbol, n.symbol)""",
         "dedup_keep_last": "select user_id, ts::date date, ts, event_id, value from events qualify row_number() over (partition by user_id, ts::date order by ts desc, event_id desc) = 1",
         "windowed_read": f"""with {PRICES} select symbol, date, round(close, 6) close from prices
@@ -298,10 +298,10 @@ where date >= date '1998-06-30' - 730 and date <= date '1998-06-30' and symbol i
 qualify row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey desc) = 1""",
         "universe_keep": f"with {PRICES} select symbol, count(*) n from prices where symbol in (select s_suppkey from supplier where s_acctbal > 0) group by 1",
         "universe_drop": f"with {PRICES} select symbol, count(*) n from prices where symbol not in (select s_suppkey from supplier where s_acctbal > 0) group by 1",
-        "pit_membership": """with r as (select last_day(o_orderdate) change_date, count(distinct o_custkey) n from orders where o_orderpriority = '1-URGENT' group by 1),
+        "pit_membership": """with r as (select last_day(o_orderdate) change_date, list_sort(list_distinct(list(o_custkey))) n from orders where o_orderpriority = '1-URGENT' group by 1),
 a as (select distinct ts::date asked from events union all select distinct o_orderdate::date from orders),
 f as (select asked, min_by(n, change_date) n from (select distinct asked from a) join r on change_date > asked group by 1)
-select a.asked, coalesce(n, -1) n_members from a left join f on a.asked = f.asked""",
+select a.asked, coalesce(len(n), -1)::int n_members, array_to_string(n, ',') members from a left join f on a.asked = f.asked""",
         "risk_stats": f"""with {RETURNS}, g as (select symbol, count(ret) n, avg(ret) m, stddev_samp(ret) sd, sqrt(avg(least(ret, 0) ** 2)) d, max(ret) > min(ret) sp from rets where ret is not null group by 1)
 select symbol, n, round(m, 7) mean, round(case when n >= 2 then sd * sqrt(252) end, 7) volatility, round(case when n >= 2 and sp then m / sd * sqrt(252) end, 7) sharpe,
 round(case when n >= 2 then d end, 7) downside, round(case when n >= 2 and d <> 0 then m / d * sqrt(252) end, 7) sortino from g""",

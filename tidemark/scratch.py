@@ -35,6 +35,15 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder, making the folders above the target."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(target).getParent())
+    if not fs.rename(path(source), path(target)):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """The names below a folder; none where it isn't there."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

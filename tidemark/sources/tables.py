@@ -5,11 +5,17 @@ A library is a folder of Parquet; settled and preliminary data lie in different
 
 from __future__ import annotations
 
+import time
+import uuid
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, FloatType, IntegerType, StringType, StructField, StructType
 
+from tidemark.scratch import children, remove, rename
+
 LIBRARIES = ("universe", "macro", "preliminary")
 
 #: one row per chunk of the flat corpus
@@ -122,6 +128,15 @@ class TrialCounter:
         if n > 0:
             self.spark.createDataFrame([(producer, n, run_date)], "producer string, n bigint, run_date string").write.mode("append").parquet(self.path)
 
+    def seed(self, totals: dict[str, int], run_date: str, overwrite: bool = False) -> None:
+        """Start from known totals; refused where any is counted already, unless ``overwrite`` counts up or down to them."""
+        now = {r.producer: r.n for r in self.totals().collect()}
+        if any(now.values()) and not overwrite:
+            raise ValueError("trials are counted already")
+        rows = [(p, n - now.get(p, 0), run_date) for p, n in totals.items() if n != now.get(p, 0)]
+        if rows:
+            self.spark.createDataFrame(rows, "producer string, n bigint, run_date string").write.mode("append").parquet(self.path)
+
     def totals(self) -> DataFrame:
         if not Store(self.spark, self.path).exists(self.path):
             return self.spark.createDataFrame([], "producer string, n bigint")
@@ -166,3 +181,102 @@ def embed(texts: DataFrame, key: str, text: str, embedder=None, dim: int = 512)
         return out
 
     return texts.select(key, run(text).alias("embedding"))
+
+
+class Transaction:
+    """Appends that become visible together: they are written beside the tables and moved into them when all are done."""
+
+    def __init__(self, store: Database):
+        self.store, self.id, self.staged = store, uuid.uuid4().hex, []
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        path = f"{self.store.root}/_staged/{self.id}/{table}"
+        rows.write.parquet(path)
+        self.staged.append((table, path))
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            for table, path in self.staged:
+                rename(self.store.spark, path, f"{self.store.root}/{table}/{self.id}")
+        remove(self.store.spark, f"{self.store.root}/_staged/{self.id}")
+
+
+class Database:
+    """Tables below a root folder with parametrised SQL; a table is a folder of appended batches."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def available(self) -> bool:
+        """Whether the root folder is there."""
+        try:
+            return Store(self.spark, self.root).exists(self.root)
+        except Exception:  # noqa: BLE001 - a file system that can't be reached isn't available
+            return False
+
+    def read(self, table: str) -> DataFrame | None:
+        path = f"{self.root}/{table}"
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(path) if Store(self.spark, path).exists(path) else None
+
+    def query(self, sql: str, params: dict | None = None) -> DataFrame:
+        """``sql`` with named parameters (:name) over the tables, which it names as views."""
+        for table in children(self.spark, self.root):
+            if not table.startswith("_"):
+                self.read(table).createOrReplaceTempView(table)
+        return self.spark.sql(sql, args=params or {})
+
+    def insert(self, table: str, rows: DataFrame) -> None:
+        """One batch, however many rows."""
+        with self.transaction() as t:
+            t.append(table, rows)
+
+    def transaction(self) -> Transaction:
+        return Transaction(self)
+
+
+def readable_in_window(objects: DataFrame, asked: DataFrame, max_age_days: int) -> DataFrame:
+    """``asked``(run_date) with the newest of ``objects``(source_date, key, body) at or before it, no older than ``max_age_days``, whose body is
+    JSON: body, source_date, age_days, key; null where there is none.  Corrupt bodies are passed over."""
+    sound = objects.filter(F.try_parse_json("body").isNotNull()).groupBy("source_date").agg(F.max_by("body", "key").alias("body"), F.max("key").alias("key"))
+    days = asked.select("run_date").distinct().select("run_date", F.explode(F.sequence(F.lit(0), F.lit(max_age_days))).alias("age_days")).withColumn("source_date", F.date_sub("run_date", F.col("age_days")))
+    best = days.join(sound, "source_date").groupBy("run_date").agg(F.min_by(F.struct("body", "source_date", "age_days", "key"), "age_days").alias("b"))
+    return asked.join(best, "run_date", "left").select("run_date", "b.body", "b.source_date", "b.age_days", "b.key")
+
+
+def latest_key(prefix: str) -> str:
+    return f"{prefix.rstrip('/')}/latest.json"
+
+
+def latest_artifact(documents: DataFrame, prefix: str) -> DataFrame:
+    """The document that the pointer latest.json below ``prefix`` names in artifact_key, of ``documents``(key, body); no row where pointer or
+    document isn't there or isn't JSON."""
+    sound = documents.filter(F.try_parse_json("body").isNotNull())
+    pointer = sound.filter(F.col("key") == latest_key(prefix)).select(F.get_json_object("body", "$.artifact_key").alias("key")).limit(1)
+    return sound.join(F.broadcast(pointer), "key", "left_semi")
+
+
+def macro_series(store: Store, symbols: list[str], start: str, end: str) -> DataFrame:
+    """The named series of the macro library within [start, end]; it is no universe, so symbols must be named."""
+    if not symbols:
+        raise ValueError("name the macro series to read")
+    return store.read("macro").filter(F.col("symbol").isin(symbols) & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+@contextmanager
+def phase(spark: SparkSession, path: str, run: str, name: str, skip_done: bool = False):
+    """A phase of a run: appends a marker (run, phase, status, seconds, detail) below ``path`` when it ends, also in failure.  Yields whether there
+    is work to do: with ``skip_done`` none where the phase has an 'ok' marker already."""
+    schema = "run string, phase string, status string, seconds double, detail string"
+    done = skip_done and bool(children(spark, path)) and not spark.read.schema(schema).parquet(path).filter((F.col("run") == run) & (F.col("phase") == name) & (F.col("status") == "ok")).isEmpty()
+    began, status, detail = time.monotonic(), "ok", None
+    try:
+        yield not done
+    except Exception as e:
+        status, detail = "error", f"{type(e).__name__}: {e}"[:500]
+        raise
+    finally:
+        if not done:
+            spark.createDataFrame([(run, name, status, time.monotonic() - began, detail)], schema).write.mode("append").parquet(path)
