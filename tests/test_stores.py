@@ -192,3 +192,15 @@ def test_newey_west_lags_of_a_large_group(spark):
     s = (e @ e) + sum(2 * (1 - j / (lags + 1)) * (e[j:] @ e[:-j]) for j in range(1, lags + 1))
     got = risk.newey_west(df, ["g"], "t", "v").first()
     assert abs(got.std_error - np.sqrt(max(s, 0)) / n) < 1e-9
+
+
+def test_bootstrap_of_a_deviation(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(3, 2, 1500)
+    rows = [("a", i, float(x)) for i, x in enumerate(v)] + [(None, 10_000 + i, 1.0) for i in range(5)] + [("one", 20_000, 1.0), ("one", 20_001, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    got = {r.g: r for r in risk.bootstrap(df, ["g"], "v", "id", risk.deviation_of, resamples=300).collect()}
+    again = {r.g: r for r in risk.bootstrap(df.repartition(7), ["g"], "v", "id", risk.deviation_of, resamples=300).collect()}
+    se = 2 / np.sqrt(2 * 1500)
+    assert got["a"].low < v.std(ddof=1) < got["a"].high and 2.5 * se < got["a"].high - got["a"].low < 6 * se
+    assert abs(got["a"].low - again["a"].low) < 1e-9 and got[None].n == 5 and got[None].high == 0 and got["one"].low is None

@@ -7,6 +7,7 @@ All but drawdown and autocovariances are plain aggregates, combined on the map s
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -199,29 +200,78 @@ def newey_west(rows: DataFrame, by: list[str], t: str, v: str) -> DataFrame:
     return out.select(*by, "n", "mean", F.when(F.col("n") >= 2, F.sqrt(F.greatest("s", F.lit(0.0))) / F.col("n")).alias("std_error"))
 
 
-def bootstrap_mean(rows: DataFrame, by: list[str], v: str, key: str, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Per group: the mean and its percentile interval over Poisson resamples.
-
-    Each row draws its multiplicities from a hash of its key, so the sums of all resamples are plain aggregates in one pass over any
-    number of rows, and the result is the same however the rows are partitioned."""
-    u = lambda i: (F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cdf, edges = 0.0, []
-    for k in range(12):
-        cdf += math.exp(-1) / math.factorial(k)
-        edges.append(cdf)
-
-    def poisson(i: Column) -> Column:
-        draw = u(i)
-        out = F.lit(0)
-        for e in edges:
-            out = out + (draw > e).cast("int")
-        return out
-
-    x = rows.select(*by, key, finite(F.col(v)).alias("v")).filter("v is not null")
-    draws = x.select(*by, "v", key, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("i"))
-    sums = draws.withColumn("k", poisson(F.col("i"))).groupBy(*by, "i").agg(F.sum(F.col("k") * F.col("v")).alias("s"), F.sum("k").alias("n"))
-    means = sums.withColumn("m", ratio(F.col("s"), F.col("n")))
+def _poisson_sums(by: list[str], resamples: int):
+    """Per task and group: for every resample the number of draws, and the sums of the drawn values and of their squares."""
+    import numpy as np
+    import pandas as pd
+
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    steps = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def draws(h: np.ndarray) -> np.ndarray:
+        x = h.astype(np.int64).view(np.uint64)[:, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+        return np.searchsorted(edges, u).astype(np.float64)
+
+    def run(batches):
+        held: dict = {}
+
+        def flush():
+            rows = [(*k, s.ravel().tolist()) for k, s in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*by, "sums"])
+
+        for b in batches:
+            for k, rows in b.groupby(by, dropna=False, sort=False):
+                sums = held.setdefault(k, np.zeros((resamples, 3)))
+                for at in range(0, len(rows), 2048):
+                    part = rows.iloc[at : at + 2048]
+                    v, m = part["v"].to_numpy(), draws(part["h"].to_numpy())
+                    sums += np.stack([m.sum(axis=0), v @ m, (v * v) @ m], axis=1)
+            if len(held) > 10_000:
+                yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def mean_of(n: Column, s: Column, _: Column) -> Column:
+    return ratio(s, n)
+
+
+def deviation_of(n: Column, s: Column, s2: Column) -> Column:
+    """The standard deviation, divisor n - 1."""
+    return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (s2 - s * s / n) / (n - 1))))
+
+
+def sharpe_of(n: Column, s: Column, s2: Column) -> Column:
+    return ratio(s / n, deviation_of(n, s, s2))
+
+
+def bootstrap(rows: DataFrame, by: list[str], v: str, key: str, statistic: Callable[[Column, Column, Column], Column] = mean_of, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Per group: (n, value, low, high), a ``statistic`` of number, sum and sum of squares and its percentile interval over Poisson resamples.
+
+    Each row draws its multiplicities from a hash of its key, so the sums of all resamples are made in one pass over any number of rows,
+    which aren't multiplied: tasks hand on three numbers per group and resample.  The result doesn't depend on how rows are partitioned."""
+    x = rows.select(*by, F.xxhash64(F.col(key), F.lit(seed)).alias("h"), finite(F.col(v)).alias("v")).filter("v is not null")
+    kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
+    parts = x.mapInPandas(_poisson_sums(by, resamples), f"{kinds}, sums array<double>")
+    cell = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda i: F.struct(F.get("sums", i * 3).alias("n"), F.get("sums", i * 3 + 1).alias("s"), F.get("sums", i * 3 + 2).alias("q"))))
+    sums = parts.select(*by, cell.alias("i", "c")).groupBy(*by, "i").agg(F.sum("c.n").alias("n"), F.sum("c.s").alias("s"), F.sum("c.q").alias("q"))
+    each = sums.select(*by, statistic(F.col("n"), F.col("s"), F.col("q")).alias("m"))
     lo = (1 - level) / 2
-    ci = means.groupBy(*by).agg(F.percentile("m", lo).alias("low"), F.percentile("m", 1 - lo).alias("high"))
-    point = x.groupBy(*by).agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
-    return point.join(ci, by).select(*by, "n", "mean", F.when(F.col("n") >= 2, F.col("low")).alias("low"), F.when(F.col("n") >= 2, F.col("high")).alias("high"))
+    ci = each.groupBy(*by).agg(F.percentile("m", lo).alias("low"), F.percentile("m", 1 - lo).alias("high"))
+    point = x.groupBy(*by).agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    value = statistic(F.col("n").cast("double"), F.col("s"), F.col("q"))
+    p, c = point.alias("p"), ci.alias("c")
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{b}").eqNullSafe(F.col(f"c.{b}")) for b in by])
+    enough = F.col("n") >= 2
+    return p.join(c, same, "left").select(*[F.col(f"p.{b}").alias(b) for b in by], "n", value.alias("value"), F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))
+
+
+def bootstrap_mean(rows: DataFrame, by: list[str], v: str, key: str, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Per group: the mean and its percentile interval over Poisson resamples; see ``bootstrap``."""
+    return bootstrap(rows, by, v, key, mean_of, resamples, level, seed).withColumnRenamed("value", "mean")

@@ -118,6 +118,22 @@ union all select g, id, 'below_cycle', top, depth from hang
 """
 
 
+_OPENED = r"case when json_type({c}) = 'VARCHAR' and regexp_matches({c} ->> '$', '^\s*[\[{{]') and json_valid({c} ->> '$') and json_type(({c} ->> '$')::json) in ('OBJECT', 'ARRAY') then ({c} ->> '$')::json else {c} end"
+
+_P3_SQL = f"""
+with recursive t as (select distinct execution_arn g, event_id id, x from (
+  select execution_arn, event_id, unnest([execution_started_event_details.input, state_entered_event_details.input]) x from run_history
+  union all select execution_arn, 0, output from run_executions) where x is not null and json_valid(x)),
+r as (select g, id, {_OPENED.format(c='x::json')} j, '$' path, '$' parent, false el from t),
+w as (select g, id, j, path, parent, el from r
+  union all select g, id, {_OPENED.format(c='c')}, path || s, case when is_object and el then path else parent end, not is_object
+  from (select g, id, path, parent, el, json_type(j) = 'OBJECT' is_object,
+    unnest(case json_type(j) when 'OBJECT' then list_transform(json_keys(j), lambda k: '.' || k) when 'ARRAY' then list_transform(range(json_array_length(j)::bigint), lambda i: '[' || i || ']') else [] end) s,
+    unnest(case json_type(j) when 'OBJECT' then json_extract(j, '$.*') when 'ARRAY' then json_extract(j, '$[*]') else [] end) c from w))
+select distinct g execution_arn, id event_id, path element_path, parent parent_path from w where el and json_type(j) = 'OBJECT'
+"""
+
+
 def queries() -> dict:
     return {"p3_found": p3_found, "p3_members": p3_members, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p6_found": p6_found, "p6_enriched": p6_enriched}
 
@@ -126,6 +142,7 @@ def oracle_sql() -> dict[str, str]:
     best = "order by d.filed_date desc, d.ingested_at desc, d.id"
     join = "d.tk = s.tk and d.filed_date <= s.signal_ts::date and d.ingested_at <= s.signal_ts"
     return {
+        "p3_found": _P3_SQL,
         "p4_found": _P4_SQL,
         "p6_found": f"{_ASOF_SQL} select distinct signal_id, document_id from (select s.signal_id, s.tk, s.signal_ts, first(d.id {best}) document_id from s join d on {join} group by 1, 2, 3)",
         "p6_enriched": f"""{_ASOF_SQL}, k as (select distinct tk, signal_ts from s),

@@ -251,6 +251,11 @@ case when count(*) filter (where d = 1) > count(*) filter (where d = -1) then 'r
         "failing_state": f"""with {_ONCE}, f as (select execution_arn, min(event_id) a from ev where event_type in ('TaskFailed', 'ExecutionFailed') group by 1),
 l as (select e.execution_arn, arg_max(state_entered_event_details.name, event_id) s from ev e join f using (execution_arn) where event_id < a and state_entered_event_details.name is not null group by 1)
 select execution_arn, s failing_state from f left join l using (execution_arn)""",
+        "run_dates": r"""select execution_arn, coalesce(try_cast(case when json_valid(input) and regexp_full_match(json_extract_string(input, '$.run_date'), '\d{4}-\d{2}-\d{2}') then json_extract_string(input, '$.run_date') end as date),
+try_cast(nullif(regexp_extract(execution_name, '\d{4}-\d{2}-\d{2}'), '') as date), start_date::date) run_date from run_executions""",
+        "decoded_inputs": """with a as (select execution_arn, case when json_valid(output) then output::json end j from run_executions),
+b as (select execution_arn, case json_type(j) when 'OBJECT' then j when 'VARCHAR' then case when json_valid(j ->> '$') and json_type((j ->> '$')::json) = 'OBJECT' then (j ->> '$')::json end end j from a)
+select execution_arn, j ->> '$.pipeline_role' as "role", j ->> '$.run_date' run_date from b""",
         "latest_runs": "select state_machine_arn, start_date, execution_arn, status, row_number() over (partition by state_machine_arn order by start_date desc, execution_arn) recency from run_executions qualify recency <= 3",
         "reliability_window": f"""with {_CYC}, x as (select *, row_number() over (partition by m, cycle order by start_date) a from c),
 p as (select m, cycle, count(*) attempts, min(a) filter (where ok) ats from x group by 1, 2), k as (select distinct m, cycle, cause from c where not ok),

@@ -34,6 +34,19 @@ def stream_live_tumbling(spark, sf):
     return done.withColumn("total", F.round("total", 4)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
+def stream_sliding(spark, sf):
+    out = windows.sliding(table(spark, sf, "events"), "ts", ["event_type"], "value", "6 hours", "2 hours")
+    return out.withColumn("total", F.round("total", 4)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
+def stream_running_totals(spark, sf):
+    """The last state of each key of a stream over the file, run to its end."""
+    source = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    windows.once(windows.running_totals(source.filter("event_type is not null"), "event_type", "value"), "tidemark_totals", "update")
+    done = spark.table("tidemark_totals")
+    return done.groupBy(F.col("key").alias("event_type")).agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 3).alias("total"))
+
+
 def corpus_round_trip(spark, sf):
     """Documents and chunks mirrored to the flat corpus and read back through its partitions."""
     s = Scratch(spark, "corpus")
@@ -56,7 +69,7 @@ def versioned_store(spark, sf):
     return pick(old, 1).unionByName(pick(new, 2))
 
 
-_QUERIES = [stream_tumbling, stream_sessions, stream_dedup, stream_live_tumbling, corpus_round_trip, versioned_store]
+_QUERIES = [stream_tumbling, stream_sessions, stream_dedup, stream_live_tumbling, stream_sliding, stream_running_totals, corpus_round_trip, versioned_store]
 
 
 def queries() -> dict:
@@ -68,6 +81,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "stream_tumbling": tumbling,
         "stream_live_tumbling": tumbling,
+        "stream_sliding": """with x as (select event_type, value, time_bucket(interval 2 hour, ts, timestamp '1970-01-01') - interval 1 hour * unnest([0, 2, 4]) w from events where ts is not null)
+select strftime(w, '%Y-%m-%d %H:%M') window_start, event_type, count(*) n, round(sum(value), 4) total from x group by 1, 2""",
+        "stream_running_totals": "select event_type, count(*) n, round(sum(coalesce(value, 0)), 3) total from events where event_type is not null group by 1",
         "stream_sessions": """with x as (select user_id, ts, coalesce(ts - lag(ts) over w >= interval 12 hour, true)::int b from events where ts is not null window w as (partition by user_id order by ts)),
 s as (select user_id, sum(b) over (partition by user_id order by ts rows unbounded preceding) i from x), g as (select user_id, i, count(*) n from s group by 1, 2)
 select user_id, count(*) n_sessions, max(n) longest from g group by 1""",

@@ -31,6 +31,12 @@ def sessions(events: DataFrame, ts: str, by: list[str], gap: str = "30 minutes",
     return out.select(*by, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
 
 
+def sliding(events: DataFrame, ts: str, by: list[str], value: str, width: str, step: str, late: str = "2 hours") -> DataFrame:
+    """Count and total per overlapping window of ``width``, one every ``step``; a row falls into width / step of them."""
+    out = _timed(events, ts, late).groupBy(F.window(ts, width, step).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return out.select(F.col("w.start").alias("window_start"), *by, "n", "total")
+
+
 def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str = "2 hours") -> DataFrame:
     """The first row per key within the watermark; on a table, the first by time."""
     timed = _timed(events, ts, late)
