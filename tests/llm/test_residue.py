@@ -119,6 +119,12 @@ def test_held_out_wordings(small):
     assert not {x for xs in EXEMPLARS.values() for x in xs} & set(texts)
 
 
+def test_site_names_and_server_signatures_are_furniture(small):
+    index = corpus_index(small)
+    assert all(index.is_residue(x)[0] for x in ("404 Not Found\nApache/2.4.41 (Ubuntu)", "503 Service Unavailable\nlighttpd/1.4.59\n\nnews.site.example", "504 Gateway Time-out\nquux/9.1"))
+    assert not index.is_residue("The parser moved from libfoo/2.1 to libfoo/2.3, which lifted throughput by a third in the nightly run.")[0]
+
+
 def test_exemplars_left_out(small):
     texts = [x for xs in HELD_OUT.values() for x in xs]
     found = []

@@ -131,7 +131,8 @@ _SPAN = re.compile(
 )
 _MAYBE = re.compile(r"[{\[<@«&_]|%\(|%%|XX|TODO:")  # what every span holds
 _WORD = re.compile(r"[^\W_]+")
-_SITE = re.compile(r"\b(?:[a-z0-9-]+\.)+(?:com|org|net|info|example|io|co)\b")
+# names of sites, and signatures of servers (product/version), are furniture too
+_SITE = re.compile(r"\b(?:[a-z0-9-]+\.)+(?:com|org|net|info|example|io|co)\b|\b[a-z][a-z_-]*/\d+(?:\.\d+)+(?:\s*\([a-z ]+\))?")
 _DIGIT = re.compile(r"\d")
 _RUN = re.compile(r"[^\W\d_][\w.-]*")
 
