@@ -442,8 +442,8 @@ def nearest(vectors: DataFrame, *, key: str, vector: str, dim: int, k: int = 5,
         n /= p.fan
         deep = n > 2 * p.leaf
         sent = _descend(sent, sizes, dim, p, s, not deep)
-    if not deep_tree:  # a task for about every cell, so a task's share doesn't grow with the collection
-        sent = sent.repartition(int(min((tree.blocks**2).sum(), 200_000)), "part", "cell")
+    if not deep_tree:  # more tasks than cells, so few share one and a task's share doesn't grow with the collection
+        sent = sent.repartition(int(min(3 * (tree.blocks**2).sum(), 200_000)), "part", "cell")
     found = sent.groupBy("part", "cell").applyInPandas(_rerank(k, dim, least), "class binary, near binary, cosine double")
     # the same pair comes from several parts
     pairs = found.groupBy("class", "near").agg(F.max("cosine").alias("cosine"))
