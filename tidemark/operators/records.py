@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.scratch import Scratch
+
 
 def canonical_hash(text: Column) -> Column:
     """sha256 of a JSON text in canonical form: members in the order of their names, no white space, as the JVM's VARIANT writes it; of the
@@ -297,3 +299,30 @@ def self_test(cases: DataFrame, by: list[str], result: str) -> DataFrame:
     """The verdict of a battery of known-answer cases: FAIL with any failed, UNKNOWN with any errored or without cases, else PASS."""
     out = cases.groupBy(*by).agg(F.count(result).alias("n"), F.coalesce(F.bool_or(F.col(result) == "FAIL"), F.lit(False)).alias("f"), F.coalesce(F.bool_or(F.col(result) == "ERROR"), F.lit(False)).alias("e"))
     return out.select(*by, "n", F.when(F.col("f"), "FAIL").when(F.col("e") | (F.col("n") == 0), "UNKNOWN").otherwise("PASS").alias("verdict"))
+
+
+# fixed value: runs that are binary data in text form and aren't scanned
+BLOB = r"[A-Za-z0-9+/]{512,}={0,2}"
+
+
+def scanned_bodies(bodies: DataFrame, key: str, body: str, clean: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, verdict, rules, cached) of JSON bodies, and the digests of strings found clean, to be given as ``clean``(digest) next time.
+
+    Every string of a body, however deep, is scanned once, however many bodies hold it, and not at all if its digest is known to be clean;
+    long blobs are left out.  'block' with the kinds of secrets found, or with 'not JSON' for what isn't; 'ok' otherwise; cached is the
+    share of the body's distinct strings that weren't scanned again, 1 without strings.  Null bodies aren't JSON."""
+    from tidemark.operators.nested import json_values
+
+    s = Scratch(bodies.sparkSession, "scan")
+    rows = bodies.select(F.col(key).alias("key"), F.col(body).alias("body"))
+    text = F.try_variant_get(F.try_parse_json("value"), "$", "string")
+    leaves = json_values(rows, ["key"], ["body"]).filter(F.startswith("value", F.lit('"'))).select("key", text.alias("leaf")).withColumn("digest", F.sha2("leaf", 256))
+    held = s.write(leaves.select("key", "digest", "leaf").dropDuplicates(["key", "digest"]), "leaves")
+    known = clean.select("digest").distinct() if clean is not None else held.select("digest").limit(0)
+    fresh = held.select("digest", "leaf").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
+    scanned = s.write(fresh.select("digest", secret_kinds(F.regexp_replace("leaf", BLOB, "[[blob]]")).alias("kinds")), "scanned")
+    per = held.select("key", "digest").join(scanned, "digest", "left").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("kinds", F.array().cast("array<string>")))))).alias("rules"), F.avg(F.col("kinds").isNull().cast("double")).alias("cached"))
+    out = rows.select("key", F.try_parse_json("body").isNotNull().alias("sound")).join(per, "key", "left")
+    rules = F.when(~F.col("sound"), F.array(F.lit("not JSON"))).otherwise(F.coalesce("rules", F.array().cast("array<string>")))
+    verdicts = out.select(F.col("key").alias(key), rules.alias("rules"), F.when(F.col("sound"), F.coalesce("cached", F.lit(1.0))).otherwise(0.0).alias("cached"))
+    return verdicts.select(key, F.when(F.size("rules") > 0, "block").otherwise("ok").alias("verdict"), "rules", "cached"), known.unionByName(scanned.filter(F.size("kinds") == 0).select("digest"))
