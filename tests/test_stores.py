@@ -214,3 +214,12 @@ def test_strings_found_clean_are_not_scanned_again(spark):
     assert got == {1: ("ok", [], 0.0), 2: ("block", ["access_key_id"], 0.0), 3: ("block", ["not JSON"], 0.0), 4: ("block", ["not JSON"], 0.0), 5: ("ok", [], 1.0), 6: ("block", ["assigned"], 0.0)}
     again = {r.id: r.cached for r in records.scanned_bodies(df, "id", "body", clean)[0].collect()}
     assert again[1] == 1.0 and again[2] == 0.5 and again[6] == 0.0
+
+
+def test_rank_correlation_is_the_same_sorted_or_counted(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(rng.integers(0, 40)), float(v)) for g in ("a", "b") for v in rng.normal(size=400)] + [("flat", 1.0, float(i)) for i in range(30)] + [("few", 1.0, 2.0), ("a", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, s double, o double")
+    key = lambda d: sorted((r.g, r.n, round(r.ic, 9) if r.ic is not None else None, r.status) for r in d.collect())
+    one = key(evaluation.information_coefficient(df, ["g"], "s", "o"))
+    assert one == key(evaluation.information_coefficient(df, ["g"], "s", "o", sorted_rows=10)) and len(one) == 4

@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.scratch import Scratch
+
 TRADING_DAYS = 252
 
 
@@ -71,21 +73,33 @@ def rank_percent(value: Column, by: list) -> Column:
 
 def quantile_slots(values: DataFrame, by: list[str], value: str, slots: int = 256) -> DataFrame:
     """``values`` with __slot, the place of ``value`` among the approximate quantiles of its group: about even, and in the order of the values."""
-    edges = values.groupBy(*by).agg(F.percentile_approx(value, [(i + 1) / slots for i in range(slots - 1)], 10_000).alias("__edges"))
-    joined = values.join(F.broadcast(edges) if not by else edges, by) if by else values.crossJoin(F.broadcast(edges))
-    return joined.withColumn("__slot", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
-
-
-def mean_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """``rows`` with the rank of ``value`` within its group, ties sharing their mean rank; rows of null values or groups are left out.
-
-    Values are counted first, so ties meet on the map side; the counts are added up slot by slot of the group's quantiles and then inside each
-    slot, so that no task sorts a whole group."""
-    counts = quantile_slots(rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")), by, value)
+    width = math.isqrt(slots)
+    quantiles = F.percentile_approx(value, [(i + 1) / slots for i in range(slots - 1)], 10_000)
+    edges = values.groupBy(*by).agg(quantiles.alias("__edges")).withColumn("__coarse", F.filter("__edges", lambda _, i: (i + 1) % width == 0))
+    joined = values.join(edges, by) if by else values.crossJoin(F.broadcast(edges))
+    below = lambda array: F.size(F.filter(array, lambda e: e < F.col(value)))
+    # first among every width-th edge, then among the few between two of them
+    first = joined.withColumn("__first", below(F.col("__coarse")) * width)
+    fine = F.slice("__edges", F.col("__first") + 1, F.lit(width))
+    return first.withColumn("__slot", F.col("__first") + below(fine)).drop("__edges", "__coarse", "__first")
+
+
+def value_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(by, value, name): the mean rank of every distinct value within its group; null values are left out.
+
+    Values are counted first, so ties meet on the map side; the counts are written, then added up slot by slot of the group's quantiles and
+    inside each slot, so that no task sorts a whole group."""
+    s = Scratch(rows.sparkSession, "ranks")
+    counts = s.write(rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")), "counts")
+    counts = s.write(quantile_slots(counts, by, value), "slots")
     before = counts.groupBy(*by, "__slot").agg(F.sum("__n").alias("__sum"))
     over = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select(*by, "__slot", F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(*by, "__slot").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     own = counts.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(before, [*by, "__slot"])
-    ranks = own.select(*by, value, (F.col("__before") + F.col("__inside") + (F.col("__n") + 1) / 2.0).alias(name))
-    return rows.join(ranks, [*by, value])
+    return own.select(*by, value, (F.col("__before") + F.col("__inside") + (F.col("__n") + 1) / 2.0).alias(name))
+
+
+def mean_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the rank of ``value`` within its group, ties sharing their mean rank; rows of null values or groups are left out."""
+    return rows.join(value_ranks(rows, by, value, name), [*by, value])

@@ -7,16 +7,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import TRADING_DAYS, average_rank, finite, mean_ranks, quantile_slots, ratio
+from tidemark.functions.numeric import TRADING_DAYS, average_rank, finite, quantile_slots, ratio, value_ranks
 
 
-def information_coefficient(rows: DataFrame, by: list[str], signal: str, outcome: str, least: int = 20) -> DataFrame:
+SORTED_ROWS = 4_000_000  # rows of a group that one task may sort
+
+
+def information_coefficient(rows: DataFrame, by: list[str], signal: str, outcome: str, least: int = 20, sorted_rows: int = SORTED_ROWS) -> DataFrame:
     """Per group: Spearman's correlation over finite pairs with ties at their mean rank.
 
-    Ranks are counted over quantile slots of a group, so a group may be of any size.  Fewer than ``least`` pairs give null with status
+    Where no group has more than ``sorted_rows`` rows, a window sorts each; else ranks are counted over quantile slots of the groups, which gives
+    the same for groups of any size.  Fewer than ``least`` pairs give null with status
     insufficient, no spread 0 with status no_variance."""
     x = rows.select(*by, finite(F.col(signal)).alias("s"), finite(F.col(outcome)).alias("o")).filter("s is not null and o is not null")
-    ranked = mean_ranks(mean_ranks(x, by, "s", "rs"), by, "o", "ro")
+    if (x.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= sorted_rows:
+        ranked = x.select(*by, "s", "o", average_rank(F.col("s"), by).alias("rs"), average_rank(F.col("o"), by).alias("ro"))
+    else:
+        ranked = x.join(value_ranks(x, by, "s", "rs"), [*by, "s"]).join(value_ranks(x, by, "o", "ro"), [*by, "o"])
     flat = (F.max("s") == F.min("s")) | (F.max("o") == F.min("o"))
     out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ratio(F.covar_pop("rs", "ro"), F.stddev_pop("rs") * F.stddev_pop("ro")).alias("c"), flat.alias("flat"))
     status = F.when(F.col("n") < least, "insufficient").when(F.col("flat"), "no_variance").otherwise("ok")
